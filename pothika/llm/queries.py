@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, components, encoding, garbled, lookalikes
+from . import boilerplate, components, encoding, garbled, language, leaks, lookalikes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,24 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_runs(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(_table(spark, sf_dir, "benchmark"), "item_id", _table(spark, sf_dir, "documents"), "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(p10_stretches(spark, sf_dir), "doc_id")
+
+
+def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.stretches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "lang_samples"), "doc_id", "text", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p5_found, p6_found, p6_pages_clean, p6_books_clean, p7_found, p7_one_form, p8_ids)
+    f.__name__: f for f in (p1_found, p1_repaired, p5_found, p6_found, p6_pages_clean, p6_books_clean, p7_found, p7_one_form, p8_ids, p9_found, p9_runs, p10_found, p10_stretches)
 }
 
 _FREQUENT = r"""
