@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, components, encoding, garbled, language, leaks, lookalikes
+from . import boilerplate, components, encoding, garbled, language, leaks, linkage, lookalikes, nearcopies
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,30 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.repaired(_table(spark, sf_dir, "pages"), "page_id", "text")
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = _table(spark, sf_dir, "catalog").withColumn("pos", F.col("pos").cast("bigint"))
+    return linkage.linked(catalog, "pos", ("opening", "closing"), _table(spark, sf_dir, "works"), "work_id", ("aadi", "ant"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_links(spark, sf_dir).select(F.col("pos").cast("int").alias("pos"), "work_id")
+
+
+def p3_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each matched work with its best entry: kruti_no is the entry's id, by score and then the order of the list."""
+    ids = _table(spark, sf_dir, "catalog").select(F.col("pos").cast("bigint").alias("pos"), F.col("id").alias("kruti_no"))
+    best = p3_links(spark, sf_dir).groupBy("work_id").agg(F.max_by(F.struct("pos", "match_score"), F.struct("match_score", -F.col("pos"))).alias("m"))
+    return best.select("work_id", "m.pos", "m.match_score").join(ids, "pos").select("work_id", "kruti_no", "match_score", "pos")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copy_pairs(_table(spark, sf_dir, "works"), "work_id", "aadi", "ant").toDF("work_a", "work_b")
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(_table(spark, sf_dir, "works"), "work_id", "aadi", "ant")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_groups(_table(spark, sf_dir, "work_pairs"), "left_work", "right_work").select("group_no", F.col("node").alias("work_id"))
 
@@ -71,7 +95,7 @@ def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p5_found, p6_found, p6_pages_clean, p6_books_clean, p7_found, p7_one_form, p8_ids, p9_found, p9_runs, p10_found, p10_stretches)
+    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_links, p3_works, p4_found, p4_classes, p5_found, p6_found, p6_pages_clean, p6_books_clean, p7_found, p7_one_form, p8_ids, p9_found, p9_runs, p10_found, p10_stretches)
 }
 
 _FREQUENT = r"""
