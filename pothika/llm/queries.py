@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, components, encoding, garbled, language, leaks, linkage, lookalikes, nearcopies
+from . import boilerplate, components, encoding, garbled, language, leaks, linkage, lookalikes, nearcopies, scanned
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.repaired(_table(spark, sf_dir, "pages"), "page_id", "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.damaged_lines(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "books"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.clean_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "books"))
+
+
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = _table(spark, sf_dir, "catalog").withColumn("pos", F.col("pos").cast("bigint"))
     return linkage.linked(catalog, "pos", ("opening", "closing"), _table(spark, sf_dir, "works"), "work_id", ("aadi", "ant"))
@@ -95,7 +103,7 @@ def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_links, p3_works, p4_found, p4_classes, p5_found, p6_found, p6_pages_clean, p6_books_clean, p7_found, p7_one_form, p8_ids, p9_found, p9_runs, p10_found, p10_stretches)
+    f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_clean, p3_found, p3_links, p3_works, p4_found, p4_classes, p5_found, p6_found, p6_pages_clean, p6_books_clean, p7_found, p7_one_form, p8_ids, p9_found, p9_runs, p10_found, p10_stretches)
 }
 
 _FREQUENT = r"""
