@@ -34,7 +34,7 @@ from .words import TO_DEVANAGARI, folded
 SHIPPED = 1_500_000
 #: A head stands on this share of a book's pages, and on three; a form explains one that is this many times rarer;
 #: share of a misreading's places that may be on trusted pages.
-HEAD_SHARE, HEAD_PAGES, TIMES, TRUSTED = 0.05, 3, 5, 0.03
+HEAD_SHARE, HEAD_PAGES, TIMES, TRUSTED, ENDING_SHARE = 0.05, 3, 5, 0.03, 0.02
 #: Signs by which a line end divides a word.
 _DIVIDED = re.compile(r"[^\W\d_\-‐¬][ऀ-ॣઁ-૥]*[-‐‑¬­]\s*$")
 _DIVIDED_WORD = re.compile(r"\S*[^\W\d_\-‐¬][ऀ-ॣઁ-૥]*[-‐‑¬­]\s*\n\s*\S*")
@@ -253,7 +253,7 @@ def _repeated_by_library(frequent: DataFrame) -> dict[str, Repeated]:
 
 
 def _edge_rows(pages: DataFrame, repeated) -> DataFrame:
-    """(book, page, page_id, words, value, number): words of an edge line, or the value of a number alone; a head's own number too."""
+    """(page_id, book, page, words, last, value): words of an edge line, sorted, its last word and its number; or a number alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -262,27 +262,45 @@ def _edge_rows(pages: DataFrame, repeated) -> DataFrame:
                 p = Page(text, repeated.value.get(lib))
                 numbers, edges = p.ends()
                 for n in numbers.values():
-                    rows.append((k, book, page, None, n))
+                    rows.append((k, book, page, None, None, n))
                 for i in edges:
                     words = _head_words(p.lines[i])
                     if 0 < len(words) <= 8:
                         m = re.findall(r"\d+", p.lines[i].translate(_DIGITS))
-                        rows.append((k, book, page, " ".join(words), int(m[0]) if len(m) == 1 and len(m[0]) < 6 else None))
-            yield pd.DataFrame(rows, columns=["page_id", "book", "page", "words", "value"]).astype({"value": "Int64"})
+                        rows.append((k, book, page, " ".join(words), _last_word(p.lines[i]), int(m[0]) if len(m) == 1 and len(m[0]) < 6 else None))
+            yield pd.DataFrame(rows, columns=["page_id", "book", "page", "words", "last", "value"]).astype({"value": "Int64"})
 
-    return pages.mapInPandas(run, "page_id bigint, book string, page int, words string, value bigint")
+    return pages.mapInPandas(run, "page_id bigint, book string, page int, words string, last string, value bigint")
 
 
-def heads_of_books(edges: DataFrame, books: DataFrame | None) -> DataFrame:
+def _last_word(line: str) -> str | None:
+    words = _NOT_LETTERS.sub(" ", _INSIDE.sub("", line.translate(TO_DEVANAGARI))).lower().split()
+    return folded(words[-1]) if words else None
+
+
+def _recurring(edges: DataFrame) -> DataFrame:
+    """(book, words, n): words of edge lines that stand on a share of the book's pages, and on HEAD_PAGES."""
+    sizes = edges.groupBy("book").agg(F.count_distinct("page_id").alias("pages"))
+    votes = edges.filter("words is not null").groupBy("book", "words").agg(F.count_distinct("page").alias("n"))
+    return votes.join(sizes, "book").filter(F.col("n") >= F.greatest(F.lit(HEAD_PAGES), HEAD_SHARE * F.col("pages"))).select("book", "words", "n")
+
+
+def endings_of_heads(edges: DataFrame, recurring: DataFrame) -> set[str]:
+    """Last words of heads in ENDING_SHARE of the books with heads, and in three: names of sections end in them too. At most 1 / ENDING_SHARE."""
+    lasts = edges.select("book", "words", "last").distinct().join(recurring, ["book", "words"]).select("book", "last").distinct()
+    books = recurring.select("book").distinct().count()
+    found = lasts.groupBy("last").count().filter(F.col("count") >= max(3, ENDING_SHARE * books))
+    return {r[0] for r in found.select("last").collect()}
+
+
+def heads_of_books(edges: DataFrame, recurring: DataFrame, books: DataFrame | None) -> DataFrame:
     """(book, heads, offsets): words of the running heads of each book, and page number minus place where it recurs.
 
     A head needs a share of the pages, so a book has at most 2 / HEAD_SHARE of them; so with the offsets, of which
     those of three pages that follow each other count as well.
     """
-    sizes = edges.groupBy("book").agg(F.count_distinct("page_id").alias("pages"))
-    votes = edges.filter("words is not null").groupBy("book", "words").agg(F.count_distinct("page").alias("n"))
-    kept = votes.join(sizes, "book").filter(F.col("n") >= F.greatest(F.lit(HEAD_PAGES), HEAD_SHARE * F.col("pages")))
-    heads = kept.groupBy("book").agg(F.collect_list(F.struct("n", "words")).alias("heads"))
+    sizes = edges.select("book").distinct()
+    heads = recurring.groupBy("book").agg(F.collect_list(F.struct("n", "words")).alias("heads"))
     near = W.partitionBy("book", "o").orderBy("page").rangeBetween(-4, 4)
     offsets = (
         edges.filter("value is not null")
@@ -325,6 +343,14 @@ def is_head(words: list[str], heads: list[list[str]], name: list[str]) -> bool:
     return False
 
 
+def is_section(line: str, endings: set[str], first: bool) -> bool:
+    """Whether an edge line is the name of a section: two to four words of which the last ends names of sections.
+    At the foot, where a text may end in such a word too, it needs a number or brackets."""
+    if any(c in line for c in "।॥,“”\"") or not (first or re.search(r"[\d\[|(]", line)):
+        return False
+    return _last_word(line) in endings and 2 <= len(_head_words(line)) <= 4
+
+
 def _word_counts(pages: DataFrame, repeated) -> DataFrame:
     """(word, n, trusted): how often each word stands on all pages, and on those with a text layer."""
 
@@ -390,7 +416,7 @@ def _classified(pages: DataFrame, repeated, wrong, with_text: bool) -> DataFrame
     """(page_id, line_no, kind) of the cases; with_text: every line with kinds, text and words put right."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = wrong.value
+        known, endings = wrong.value
         for batch in batches:
             rows = []
             for k, page, lib, text, heads, offsets, name in zip(*(batch[c] for c in ("page_id", "page", "library", "text", "heads", "offsets", "name"))):
@@ -404,7 +430,7 @@ def _classified(pages: DataFrame, repeated, wrong, with_text: bool) -> DataFrame
                         kinds[i] = ["page_number"]
                 body = [i for i in p.body if i not in kinds]
                 for i in dict.fromkeys(body[:2] + body[-2:]):
-                    if len(p.lines[i]) <= 80 and (heads or name) and is_head(_head_words(p.lines[i]), heads, name):
+                    if len(p.lines[i]) <= 80 and (is_head(_head_words(p.lines[i]), heads, name) or i in (body[0], body[-1]) and is_section(p.lines[i], endings, i == body[0])):
                         kinds[i] = ["header"]
                 body = [i for i in body if i not in kinds]
                 fixed = {}
@@ -449,7 +475,9 @@ def _prepared(pages: DataFrame, books: DataFrame | None) -> tuple[DataFrame, obj
     frequent = boilerplate.frequent_lines(pages, "library", "book", "text")
     repeated = sc.broadcast(_repeated_by_library(frequent))
     edges = cut(_edge_rows(pages.select("page_id", "book", "page", "library", "text"), repeated))
-    heads = cut(heads_of_books(edges, books))
+    recurring = cut(_recurring(edges))
+    endings = endings_of_heads(edges, recurring)
+    heads = cut(heads_of_books(edges, recurring, books))
     wrong = cut(misreadings(_word_counts(pages.select("library", "source", "text"), repeated)))
     known = _shipped(wrong, lambda df: dict(zip(df["word"], df["form"])))
     if known is None:
@@ -458,7 +486,7 @@ def _prepared(pages: DataFrame, books: DataFrame | None) -> tuple[DataFrame, obj
     if heads.limit(200_001).count() <= 200_000:
         heads = F.broadcast(heads)
     joined = pages.select("page_id", "book", "page", "library", "text").join(heads, "book", "left").drop("book")
-    return joined, repeated, sc.broadcast(known)
+    return joined, repeated, sc.broadcast((known, endings))
 
 
 def damaged_lines(pages: DataFrame, books: DataFrame | None = None) -> DataFrame:
