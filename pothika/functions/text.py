@@ -68,7 +68,7 @@ def without_markup(text: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """The pieces between ellipses, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"\.{3,}|…"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\.{3,}|…"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def one_line(text: Column) -> Column:
