@@ -34,6 +34,24 @@ def edits(a: str, b: str, most: int) -> int:
     return row[m]
 
 
+@lru_cache(200_000)
+def _places(word: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(word):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _common(places: dict[str, int], n: int, b: str) -> int:
+    """Letters of a longest common subsequence with a word of n letters at these places."""
+    full = row = (1 << n) - 1
+    for c in b:
+        hit = row & places.get(c, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+    return n - row.bit_count()
+
+
 def matched(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int]:
     """(letters, words) of a and b that agree, in any order.
 
@@ -54,10 +72,12 @@ def matched(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int]:
             rest.append(w)
     free = [w for w, n in left.items() for _ in range(n)]
     for w in rest:
-        best, at = 1 << 30, -1
+        best, at, n, places = 1 << 30, -1, len(w), _places(w)
         for i, x in enumerate(free):
-            most = max(len(w), len(x)) * 2 // 5
-            if most and (d := edits(w, x, min(most, best))) <= most and d < best:
+            longer = n if n > len(x) else len(x)
+            most = longer * 2 // 5
+            # a distance is no less than what the longer word has beyond the common letters
+            if most and longer - _common(places, n, x) <= most and (d := edits(w, x, min(most, best))) <= most and d < best:
                 best, at = d, i
         if at >= 0:
             letters += max(0, max(len(w), len(free[at])) - best)
