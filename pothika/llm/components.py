@@ -31,14 +31,20 @@ def _smallest_edges(edges: DataFrame) -> DataFrame:
 def _roots(pointers: DataFrame) -> DataFrame:
     """Pointer doubling: (node, parent) becomes (node, root)."""
     while True:
-        up = pointers.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        doubled = cut(salted_lookup(pointers, up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")))
-        moved = doubled.filter("moved").limit(1).count()
-        pointers = doubled.drop("moved")
+        # two doublings between the writes, as each write costs jobs and the driver's memory
+        doubled = _doubled(pointers)
+        twice = cut(_doubled(doubled).join(pointers.withColumnRenamed("parent", "was"), "node").select("node", "parent", (F.col("parent") != F.col("was")).alias("moved")))
+        moved = not twice.filter("moved").isEmpty()
+        pointers = twice.drop("moved")
         if not moved:
             return pointers
 
 
+def _doubled(pointers: DataFrame) -> DataFrame:
+    up = pointers.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+    return salted_lookup(pointers, up, "parent").select("node", F.col("above").alias("parent"))
+
+
 def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(group_no, node) of every node that a pair links to another; group_no is the smallest node of its group.
 
@@ -49,7 +55,7 @@ def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     one_way = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = cut(one_way.union(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     levels: list[DataFrame] = []
-    while edges.limit(1).count():
+    while not edges.isEmpty():
         roots = _roots(cut(_smallest_edges(edges)))
         levels.append(roots)
         at = roots.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
