@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 from .words import folded, plain_words
@@ -52,11 +53,11 @@ def _common(places: dict[str, int], n: int, b: str) -> int:
     return n - row.bit_count()
 
 
-def matched(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int]:
+def matched(a: tuple[str, ...], b: tuple[str, ...], need: float = 0) -> tuple[int, int]:
     """(letters, words) of a and b that agree, in any order.
 
     Equal words are set off first, then each word left of a goes to the most similar one left of b of which at most
-    two fifths differ; ties go to the earlier one.
+    two fifths differ; ties go to the earlier one. What can't reach `need` letters any more is given up as it is then.
     """
     left: dict[str, int] = {}
     for w in b:
@@ -71,7 +72,12 @@ def matched(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int]:
         else:
             rest.append(w)
     free = [w for w, n in left.items() for _ in range(n)]
+    # a pair has no more letters that agree than the shorter of its words
+    hope, open_ = size(rest), size(free)
     for w in rest:
+        if letters + min(hope, open_) < need - 1e-6:
+            break
+        hope -= len(w)
         best, at, n, places = 1 << 30, -1, len(w), _places(w)
         for i, x in enumerate(free):
             longer = n if n > len(x) else len(x)
@@ -82,9 +88,9 @@ def matched(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int]:
         if at >= 0:
             letters += max(0, max(len(w), len(free[at])) - best)
             words += 1
-            free.pop(at)
+            open_ -= len(free.pop(at))
     return letters, words
 
 
-def size(words: tuple[str, ...]) -> int:
+def size(words: Iterable[str]) -> int:
     return sum(map(len, words))

@@ -112,6 +112,28 @@ def test_near_copies_and_linkage(spark):
     assert matched(("कखग", "चछज"), ("चछज", "कखघ")) == (5, 2)
 
 
+def test_linkage_keeps_all_variants_of_a_hot_entry(spark):
+    rnd = random.Random(6)
+    words = list(dict.fromkeys("".join(rnd.choice("कगजतदपमरलवसह") + rnd.choice("ािुेो") for _ in range(5)) for _ in range(700)))
+    opening, closing = " ".join(words[:12]), " ".join(words[12:42])
+    # one variant has the closing too, which the entry shares with no other
+    works = [(0, opening, closing)] + [(i, f"{opening} {words[41 + i]}", None) for i in range(1, 501)]
+    df = spark.createDataFrame(works, "id bigint, aadi string, ant string")
+    catalog = spark.createDataFrame([(7, opening, closing)], "pos bigint, opening string, closing string")
+    got = linkage.linked(catalog, "pos", ("opening", "closing"), df, "id", ("aadi", "ant"))
+    assert {(r.pos, r.id) for r in got.collect()} == {(7, i) for i in range(501)}
+
+
+def test_what_cannot_agree_is_given_up_without_loss():
+    rnd = random.Random(8)
+    for _ in range(300):
+        a = tuple("".join(rnd.choice("कगजत") for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(1, 9)))
+        b = tuple("".join(rnd.choice("कगजत") for _ in range(rnd.randint(1, 7))) if rnd.random() < 0.4 else w for w in a)
+        full, need = matched(a, b), rnd.uniform(0, 40)
+        got = matched(a, b, need)
+        assert got == full if full[0] >= need else got[0] < need
+
+
 def test_tree_finds_all_within_radius():
     rnd = random.Random(1)
     values = [rnd.getrandbits(256) for _ in range(60)]
