@@ -301,9 +301,14 @@ def q_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").filter("text is not null").select("page_id", segment.looks_like_list(F.col("text")).alias("is_list"))
 
 
+#: Names of the catalogue that go to all tasks; more are looked up by joins.
+SHIPPED_NAMES = 100_000
+
+
 def _found_works(spark: SparkSession, sf_dir: str, books: DataFrame) -> DataFrame:
-    names = [r[0] for r in _table(spark, sf_dir, "catalog").select("name").filter("name is not null").distinct().limit(100_000).collect()]
-    return segment.segmented(books, names)
+    names = _table(spark, sf_dir, "catalog").select("name").filter("name is not null").distinct()
+    shipped = [r[0] for r in names.limit(SHIPPED_NAMES + 1).collect()]
+    return segment.segmented(books, shipped) if len(shipped) <= SHIPPED_NAMES else segment.segmented_by_table(books, names)
 
 
 @_query()
