@@ -4,7 +4,10 @@
 2. Edge lines of each book are grouped by their words with digits masked: what stands on many pages, or resembles the
    book's name, is a running head. Numbers alone at the edges whose distance to the page's place recurs are page numbers.
 3. Words are counted over all pages and grouped by a skeleton in which confusable glyphs are one. Within a group a form
-   that trusted pages don't support and that a far more frequent form explains by confusions is a misreading of it.
+   that trusted pages don't support and that a far more frequent form explains by confusions may be a misreading of it.
+   Neighbouring words decide at each place: the explaining form that stands beside the same neighbours elsewhere comes
+   first, and one that trusted pages lack needs them. A word that trusted pages do support is a misreading where between
+   the same two neighbours a similar one is far more usual.
 4. Lines are classed by that, and texts are put together again with SQL windows: heads and numbers go, divided
    words are joined, prose lines run on, verse lines stay.
 
@@ -17,9 +20,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -376,9 +381,10 @@ def _word_counts(pages: DataFrame, repeated) -> DataFrame:
 
 
 def misreadings(counts: DataFrame) -> DataFrame:
-    """(word, form): each misread word with the frequent form of its skeleton group that explains it best.
+    """(word, doubtful, forms array<struct<cost, n, form, trusted, times>>): words that can be misreadings of frequent forms.
 
-    Of several the one with the fewest confusions counts, then the most frequent, then the first.
+    A doubtful word hardly stands on trusted pages and its forms are TIMES as frequent. The others are usual words, and
+    their forms other usual words of one confusion. times: how often the form stands for one of the word.
     """
 
     @F.pandas_udf("string")
@@ -386,23 +392,110 @@ def misreadings(counts: DataFrame) -> DataFrame:
         return words.map(skeleton)
 
     keyed = cut(counts).filter(F.length("word") >= 2).withColumn("s", skeletons("word")).filter("s <> ''")
-    keyed = cut(keyed)
-    doubtful = keyed.filter(F.col("trusted") <= TRUSTED * F.col("n"))
-    forms = keyed.filter("n >= 3").select("s", F.col("word").alias("form"), F.col("n").alias("fn"))
-    pairs = doubtful.join(forms, "s").filter((F.col("fn") >= TIMES * F.col("n")) & (F.abs(F.length("form") - F.length("word")) <= 2))
+    keyed = cut(keyed.withColumn("doubtful", F.col("trusted") <= TRUSTED * F.col("n")))
+    forms = keyed.filter("n >= 3").select("s", F.col("word").alias("form"), F.col("n").alias("fn"), (F.col("trusted") > 0).alias("ft"), F.col("doubtful").alias("fd"))
+    possible = F.when(F.col("doubtful"), F.col("fn") >= TIMES * F.col("n")).otherwise(~F.col("fd") & (F.col("form") != F.col("word")) & (F.least("n", "fn") >= TIMES))
+    pairs = keyed.join(forms, "s").filter(possible & (F.abs(F.length("form") - F.length("word")) <= 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for w, f, fn in zip(batch["word"], batch["form"], batch["fn"]):
-                for most in (1, 2) if min(len(w), len(f)) >= 6 else (1,):
+            for w, n, d, f, fn, ft in zip(*(batch[c] for c in ("word", "n", "doubtful", "form", "fn", "ft"))):
+                for most in (1, 2) if d and min(len(w), len(f)) >= 6 else (1,):
                     if explained(f, w, most):
-                        rows.append((w, f, fn, most))
+                        rows.append((w, d, most, fn, f, ft, fn / n))
                         break
-            yield pd.DataFrame(rows, columns=["word", "form", "fn", "cost"])
+            yield pd.DataFrame(rows, columns=["word", "doubtful", "cost", "n", "form", "trusted", "times"])
 
-    found = pairs.select("word", "form", "fn").mapInPandas(run, "word string, form string, fn bigint, cost int")
-    return found.groupBy("word").agg(F.min_by("form", F.struct("cost", -F.col("fn"), "form")).alias("form"))
+    found = pairs.select("word", "n", "doubtful", "form", "fn", "ft").mapInPandas(run, "word string, doubtful boolean, cost int, n bigint, form string, trusted boolean, times double")
+    return found.groupBy("word", "doubtful").agg(F.collect_list(F.struct("cost", "n", "form", "trusted", "times")).alias("forms"))
+
+
+def _hash(context: str) -> int:
+    return xxhash.xxh64_intdigest(context) - (1 << 63)
+
+
+class Choice:
+    """What the words of a place can be: candidates by word, and the words that stand beside the same neighbours elsewhere."""
+
+    def __init__(self, doubtful: dict[str, list[tuple]], usual: dict[str, list[tuple]]):
+        self.doubtful, self.usual = doubtful, usual
+        forms = lambda table: {f[2] for own in table.values() for f in own} | table.keys()
+        self.beside, self.between = forms(doubtful), forms(usual)
+        self.contexts: dict[int, dict[str, int]] = {}
+        self._key = lru_cache(200_000)(skeleton)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_key"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._key = lru_cache(200_000)(skeleton)
+
+    def sides(self, words: list[str], i: int) -> tuple[int | None, int | None]:
+        """Keys of the word before and of the word after; a word and its forms have the same."""
+        s = self._key(words[i])
+        return _hash(f"l\t{words[i - 1]}\t{s}") if i else None, _hash(f"r\t{s}\t{words[i + 1]}") if i + 1 < len(words) else None
+
+    def both(self, words: list[str], i: int) -> int | None:
+        """Key of the two words beside it together."""
+        return _hash(f"t\t{words[i - 1]}\t{self._key(words[i])}\t{words[i + 1]}") if 0 < i < len(words) - 1 else None
+
+    def form(self, words: list[str], i: int, trusted: bool) -> str | None:
+        """The form that stands at this place, None if the word is right."""
+        w = words[i]
+        if own := self.doubtful.get(w):
+            before, after = (self.contexts.get(k, {}) for k in self.sides(words, i))
+            ranked = [(-(f in before) - (f in after), cost, -n, f) for cost, n, f, known, _ in own if known or f in before or f in after]
+            return min(ranked)[3] if ranked else None
+        if not trusted and (own := self.usual.get(w)):
+            both = self.contexts.get(self.both(words, i), {})
+            found = [(-both[f], -n, f) for _, n, f, _, times in own if both.get(f, 0) >= TIMES * max(1, times) * both.get(w, 1)]
+            return min(found)[2] if found else None
+        return None
+
+
+def words_of_lines(lines: list[str], body: list[int]) -> Iterator[tuple[int, list[str], bool, bool]]:
+    """(line, its words, whether the first goes on a divided word, whether the last is divided)."""
+    before = False
+    for at, i in enumerate(body):
+        ends = bool(_DIVIDED.search(lines[i])) and at + 1 < len(body)
+        yield i, tokens(lines[i]), before, ends
+        before = ends
+
+
+def _contexts(pages: DataFrame, repeated, choice) -> DataFrame:
+    """(g, words array<struct<word, n>>): words that stand beside the same neighbours, of contexts that can decide a place."""
+
+    def out(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"g": pa.array([k[0] for k in n], pa.int64()), "word": pa.array([k[1] for k in n], pa.string()), "doubtful": pa.array([k[2] for k in n], pa.int32()), "n": pa.array(list(n.values()), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, n = choice.value, Counter()
+        for batch in batches:
+            for lib, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                p = Page(text, repeated.value.get(lib))
+                for _, words, first, last in words_of_lines(p.lines, p.body):
+                    for i in range(first, len(words) - last):
+                        w = words[i]
+                        if w in c.beside:
+                            d = int(w in c.doubtful)
+                            for g in c.sides(words, i):
+                                if g is not None:
+                                    n[g, w, d] += 1
+                        if w in c.between and (g := c.both(words, i)) is not None:
+                            n[g, w, -1] += 1
+            if len(n) > 120_000:
+                yield out(n)
+                n = Counter()
+        yield out(n)
+
+    rows = pages.select("library", "text").mapInArrow(run, "g bigint, word string, doubtful int, n bigint").repartition("g")
+    by_word = rows.groupBy("g", "word").agg(F.max("doubtful").alias("doubtful"), F.sum("n").alias("n"))
+    groups = by_word.groupBy("g").agg(F.collect_list(F.struct("word", "n")).alias("words"), F.max("doubtful").alias("d"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # what stands alone decides nothing
+    decides = F.when(F.col("d") == -1, F.col("most") >= TIMES * F.col("least")).otherwise(F.col("d") == 1)
+    return groups.filter((F.size("words") > 1) & decides).select("g", "words")
 
 
 #: Foreign signs inside a word of another script: a misreading whatever the word.
@@ -416,10 +509,11 @@ def _classified(pages: DataFrame, repeated, wrong, with_text: bool) -> DataFrame
     """(page_id, line_no, kind) of the cases; with_text: every line with kinds, text and words put right."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, endings = wrong.value
+        choice, endings = wrong.value
+        contested = choice.doubtful.keys() | choice.usual.keys()
         for batch in batches:
             rows = []
-            for k, page, lib, text, heads, offsets, name in zip(*(batch[c] for c in ("page_id", "page", "library", "text", "heads", "offsets", "name"))):
+            for k, page, lib, source, text, heads, offsets, name in zip(*(batch[c] for c in ("page_id", "page", "library", "source", "text", "heads", "offsets", "name"))):
                 p = Page(text, repeated.value.get(lib))
                 heads = [] if heads is None else [h["words"].split() for h in heads]
                 name = _head_words(name) if isinstance(name, str) else []
@@ -435,25 +529,20 @@ def _classified(pages: DataFrame, repeated, wrong, with_text: bool) -> DataFrame
                 body = [i for i in body if i not in kinds]
                 fixed = {}
                 # most pages need no look at their single lines
-                plain = not with_text and not _MARKED.search(text) and known.keys().isdisjoint(tokens("\n".join([p.lines[i] for i in body])))
-                for at, i in enumerate([] if plain else body):
-                    line, own = p.lines[i], []
-                    ends = bool(_DIVIDED.search(line)) and at + 1 < len(body)
-                    if ends:
-                        own.append("hyphen")
-                    words = tokens(line)
-                    if at and _DIVIDED.search(p.lines[body[at - 1]]):
-                        words = words[1:]
-                    if ends:
-                        words = words[:-1]
-                    bad = [w for w in words if w in known]
-                    if bad or (_MIXED.search(line) and any(_MIXED.search(w) for w in words)):
+                plain = not with_text and not _MARKED.search(text) and contested.isdisjoint(tokens("\n".join([p.lines[i] for i in body])))
+                for i, words, first, ends in () if plain else words_of_lines(p.lines, body):
+                    line, own = p.lines[i], ["hyphen"] if ends else []
+                    # a word that is divided is none here
+                    inner = range(first, len(words) - ends)
+                    forms = [choice.form(words, j, source == "text") if j in inner and w in contested else None for j, w in enumerate(words)]
+                    if any(forms) or (_MIXED.search(line) and any(_MIXED.search(words[j]) for j in inner)):
                         own.append("misread")
                     if own:
                         kinds[i] = own
                     if with_text:
-                        for w in sorted(set(bad), key=len, reverse=True):
-                            line = re.sub(rf"(?<![{_LETTERS}]){re.escape(w)}(?![{_LETTERS}])", lambda _, w=w: known[w], line)
+                        for w in sorted({w for w, f in zip(words, forms) if f}, key=len, reverse=True):
+                            each = iter([f for x, f in zip(words, forms) if x == w])
+                            line = re.sub(rf"(?<![{_LETTERS}]){re.escape(w)}(?![{_LETTERS}])", lambda m, each=each: next(each, None) or m[0], line)
                         fixed[i] = line
                 if with_text:
                     repeated_lines = set(range(len(p.lines))) - set(p.body) - p.garbled
@@ -479,14 +568,24 @@ def _prepared(pages: DataFrame, books: DataFrame | None) -> tuple[DataFrame, obj
     endings = endings_of_heads(edges, recurring)
     heads = cut(heads_of_books(edges, recurring, books))
     wrong = cut(misreadings(_word_counts(pages.select("library", "source", "text"), repeated)))
-    known = _shipped(wrong, lambda df: dict(zip(df["word"], df["form"])))
-    if known is None:
+
+    def by_word(doubtful: bool) -> dict | None:
+        rows = wrong.filter(F.col("doubtful") == doubtful).select("word", "forms")
+        return _shipped(rows, lambda df: {w: [tuple(f) for f in forms] for w, forms in zip(df["word"], df["forms"])})
+
+    doubtful, usual = by_word(True), by_word(False)
+    if doubtful is None or usual is None:
         raise MemoryError("more misreadings than SHIPPED: raise it, or clean the pages in parts of the corpus")
+    choice = Choice(doubtful, usual)
+    contexts = _shipped(cut(_contexts(pages, repeated, sc.broadcast(choice))), lambda df: {g: {x["word"]: x["n"] for x in words} for g, words in zip(df["g"], df["words"])})
+    if contexts is None:
+        raise MemoryError("more contexts of misreadings than SHIPPED: raise it, or clean the pages in parts of the corpus")
+    choice.contexts = contexts
     # a book has one row of heads, but may hold a third of the pages: it goes to the pages unless it is too large
     if heads.limit(200_001).count() <= 200_000:
         heads = F.broadcast(heads)
-    joined = pages.select("page_id", "book", "page", "library", "text").join(heads, "book", "left").drop("book")
-    return joined, repeated, sc.broadcast((known, endings))
+    joined = pages.select("page_id", "book", "page", "library", "source", "text").join(heads, "book", "left").drop("book")
+    return joined, repeated, sc.broadcast((choice, endings))
 
 
 def damaged_lines(pages: DataFrame, books: DataFrame | None = None) -> DataFrame:

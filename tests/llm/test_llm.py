@@ -168,3 +168,24 @@ def test_scanned(spark):
     text = scanned.clean_pages(df).filter("page_id = 50").first().text
     assert "नगर" in text and "सागर करुणा" in text and "संग्र" not in text and "33" not in text
     assert scanned.explained("सागर", "साग'र", 1) and not scanned.explained("सागर", "नगर", 1)
+
+
+def test_neighbours_decide_what_is_misread(spark):
+    rows = [(p, "text", "प्रभु दर्शन करे\nमोटा पर्वत देखे\nछोटा पर्वन रहे") for p in range(1, 21)]
+    rows += [
+        # a usual word where between these neighbours another is usual, and in its own place
+        (50, "ocr", "मोटा पर्वन देखे\nछोटा पर्वन रहे"),
+        # a frequent form of scanned pages only explains nothing without its neighbours
+        *[(60 + i, "ocr", "राजा मंडक बोले") for i in range(10)],
+        (80, "ocr", "कोई मंडफ जाने"),
+        (81, "ocr", "राजा मंडफ बोले"),
+        # a form of trusted pages
+        (95, "ocr", "प्रभु दर्शत करे"),
+    ]
+    rnd = random.Random(5)
+    edge = lambda: "\n".join(" ".join("".join(rnd.choice("कगजतदपमरलवसह") + rnd.choice("ािुेो") for _ in range(6)) for _ in range(3)) for _ in range(2))
+    df = spark.createDataFrame([(k, "b", "L", k, source, f"{edge()}\n{t}\n{edge()}") for k, source, t in rows], "page_id bigint, book string, library string, page int, source string, text string")
+    got = {(r.page_id, r.line_no) for r in scanned.damaged_lines(df).filter("kind = 'misread'").collect()}
+    assert got == {(50, 3), (81, 3), (95, 3)}
+    text = {r.page_id: r.text for r in scanned.clean_pages(df).collect()}
+    assert "मोटा पर्वत देखे\nछोटा पर्वन रहे" in text[50] and "मंडफ" in text[80] and "प्रभु दर्शन" in text[95]
