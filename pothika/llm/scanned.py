@@ -11,8 +11,9 @@
 4. Lines are classed by that, and texts are put together again with SQL windows: heads and numbers go, divided
    words are joined, prose lines run on, verse lines stay.
 
-The tables that go to all tasks (repeated lines, heads of books, misreadings) are broadcast only after their size was
-checked; beyond the limit they reach the pages by joins.
+Heads of books go to all tasks only after their size was checked; beyond the limit they reach the pages by a join.
+Misreadings and their contexts have no such way yet: beyond SHIPPED of them there is an error. Repeated lines go to all
+tasks unchecked.
 """
 
 from __future__ import annotations
