@@ -475,13 +475,14 @@ def q_stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages taken in by a stream that goes on where it stopped, then counted by library and day of arrival."""
     import uuid
 
-    from ..session import ensure_checkpoint_dir
+    from ..session import delete, shared_dir
 
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     table = _table(spark, sf_dir, "pages")
     # a stream reads folders: the table's own, or the one that holds its only file
     single = [p for p in table.inputFiles() if p.endswith("/pages.parquet")]
     stream = ingest.page_stream(spark, sf_dir if single else f"{sf_dir}/pages.parquet", table.schema, only="pages.parquet" if single else "*")
     ingest.ingest(stream, f"{base}/pages", f"{base}/state", ["page_id"])
-    return ingest.arrivals(spark.read.parquet(f"{base}/pages")).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    counted = cut(ingest.arrivals(spark.read.parquet(f"{base}/pages")).withColumn("day", F.col("day").cast("timestamp_ntz")))
+    delete(spark, base)
+    return counted
