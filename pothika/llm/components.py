@@ -16,35 +16,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, salted_lookup
+from ..session import cut, cut_counting, released, salted_lookup
 
 
 def _smallest_edges(edges: DataFrame) -> DataFrame:
-    """(node, parent): each node's smallest neighbour; of two that chose each other the smaller is a root."""
+    """(node, parent): each node's smallest neighbour; of two that chose each other the smaller is a root.
+
+    Two chose each other where both ends of an edge are chosen, so the choices are grouped by edge, which no hub makes hot.
+    """
     chosen = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
-    other = chosen.select(F.col("node").alias("parent"), F.col("parent").alias("back"))
-    return salted_lookup(chosen, other, "parent").select(
-        "node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent")
-    )
+    by_edge = chosen.groupBy(F.least("node", "parent").alias("lo"), F.greatest("node", "parent").alias("hi")).agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    one = F.array(F.struct("node", F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("parent")))
+    both = F.array(F.struct(F.col("lo").alias("node"), F.col("lo").alias("parent")), F.struct(F.col("hi").alias("node"), F.col("lo").alias("parent")))
+    return by_edge.select(F.inline(F.when(F.col("n") == 2, both).otherwise(one)))
 
 
 def _roots(pointers: DataFrame) -> DataFrame:
     """Pointer doubling: (node, parent) becomes (node, root)."""
     while True:
-        # two doublings between the writes, as each write costs jobs and the driver's memory
-        doubled = _doubled(pointers)
-        twice = cut(_doubled(doubled).join(pointers.withColumnRenamed("parent", "was"), "node").select("node", "parent", (F.col("parent") != F.col("was")).alias("moved")))
-        moved = not twice.filter("moved").isEmpty()
-        pointers = twice.drop("moved")
-        if not moved:
+        up = pointers.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        moved = F.col("above") != F.col("parent")
+        doubled, n = cut_counting(salted_lookup(pointers, up, "parent"), moved)
+        released(pointers)
+        pointers = doubled.select("node", F.col("above").alias("parent"))
+        if not n:
             return pointers
 
 
-def _doubled(pointers: DataFrame) -> DataFrame:
-    up = pointers.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-    return salted_lookup(pointers, up, "parent").select("node", F.col("above").alias("parent"))
-
-
 def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(group_no, node) of every node that a pair links to another; group_no is the smallest node of its group.
 
@@ -60,14 +58,19 @@ def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
         levels.append(roots)
         at = roots.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
         bt = roots.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
-        moved = salted_lookup(salted_lookup(edges, at, "a"), bt, "b")
-        edges = cut(moved.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        half = cut(salted_lookup(edges, at, "a").select("ra", "b"))
+        again = cut(salted_lookup(half, bt, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        released(edges, half)
+        edges = again
     if not levels:
         return one_way.select(F.col("a").alias("group_no"), F.col("b").alias("node"))
     final = levels.pop()
     while levels:
         # a root without an edge in the next round is missing there and keeps itself
         above = final.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        final = cut(salted_lookup(levels.pop(), above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")))
+        below = levels.pop()
+        composed = cut(salted_lookup(below, above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")))
+        released(final, below)
+        final = composed
     smallest = final.groupBy("parent").agg(F.min("node").alias("group_no"))
     return salted_lookup(final, smallest, "parent").select("group_no", "node")
