@@ -189,3 +189,25 @@ def test_neighbours_decide_what_is_misread(spark):
     assert got == {(50, 3), (81, 3), (95, 3)}
     text = {r.page_id: r.text for r in scanned.clean_pages(df).collect()}
     assert "मोटा पर्वत देखे\nछोटा पर्वन रहे" in text[50] and "मंडफ" in text[80] and "प्रभु दर्शन" in text[95]
+
+
+def test_links_come_and_go_by_those_beside_them(spark):
+    links = [(1, 1, 0.98, 0.68), (1, 2, 1.3, 0.9), (2, 1, 1.3, 0.9)]  # nearly agrees, beside links that do
+    links += [(5, 5, 1.001, 0.7), (5, 6, 0.97, 0.68), (5, 7, 0.97, 0.68)]  # just agrees, beside links that don't
+    links += [(8, 8, 1.001, 0.7), (9, 9, 0.98, 0.68)]  # alone
+    got = linkage.refined(spark.createDataFrame(links, "l bigint, r bigint, base double, score double")).filter("s >= 1")
+    assert {(x.l, x.r) for x in got.collect()} == {(1, 1), (1, 2), (2, 1), (8, 8)}
+
+
+def test_edges_are_pruned_by_the_poorer_ends_weight(spark):
+    a = [(1, s, 10 * s + i) for s in (0, 1) for i in range(10)]
+    b = [(7, s, 10 * s + i) for s in (0, 1) for i in range(10)]  # all
+    b += [(8, 0, i) for i in range(10)] + [(8, 1, 100 + i) for i in range(10)]  # one text only, the other is another's
+    b += [(9, 0, i) for i in range(10)]  # one text, the other is missing
+    b += [(10, 0, 0), (10, 0, 55)]  # one attribute
+    a += [(2, 1, 100 + i) for i in range(10)] + [(2, 0, 55)]
+    schema = "node bigint, side int, attr bigint"
+    for hot in (2, 20_000):
+        edges = linkage.candidate_edges(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), hot=hot)
+        assert {(x.l, x.r) for x in edges.collect()} == {(1, 7), (1, 9), (2, 8)}
+    assert linkage.linked(*[x for t in "ab" for x in (spark.createDataFrame([], f"{t} bigint, x string, y string"), t, ("x", "y"))]).count() == 0
