@@ -3,41 +3,37 @@
 1. Lines that the library repeats (problem 6) and garbled lines (problem 1) are set aside.
 2. Edge lines of each book are grouped by their words with digits masked: what stands on many pages, or resembles the
    book's name, is a running head. Numbers alone at the edges whose distance to the page's place recurs are page numbers.
-3. Words are counted over all pages and grouped by a skeleton in which confusable glyphs are one. Within a group a form
-   that trusted pages don't support and that a far more frequent form explains by confusions may be a misreading of it.
-   Neighbouring words decide at each place: the explaining form that stands beside the same neighbours elsewhere comes
-   first, and one that trusted pages lack needs them. A word that trusted pages do support is a misreading where between
-   the same two neighbours a similar one is far more usual.
-4. Lines are classed by that, and texts are put together again with SQL windows: heads and numbers go, divided
-   words are joined, prose lines run on, verse lines stay.
-
-Heads of books go to all tasks only after their size was checked; beyond the limit they reach the pages by a join.
-Misreadings and their contexts have no such way yet: beyond SHIPPED of them there is an error. Repeated lines go to all
-tasks unchecked.
+3. One pass over the texts gives the words of each line. They are counted over all pages and grouped by a skeleton in which
+   confusable glyphs are one. Within a group a form that trusted pages don't support and that a far more frequent form
+   explains by confusions may be a misreading of it. Neighbouring words decide at each place: the explaining form that
+   stands beside the same neighbours elsewhere comes first, and one that trusted pages lack needs them. A word that
+   trusted pages do support is a misreading where between the same two neighbours a similar one is far more usual.
+4. Texts are put together again with SQL windows: heads and numbers go, divided words are joined, prose lines run on,
+   verse lines stay.
+
+Words, forms and contexts meet the places by joins, of whatever size; only tables whose size was counted go to all tasks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
-from ..session import cut
+from ..session import broadcast_if_small, cut, salted_lookup
 from . import boilerplate
 from .agreement import edits
 from .garbled import SUSPECT, spans
 from .words import TO_DEVANAGARI, folded
 
-#: Rows of a table that goes to all tasks.
-SHIPPED = 1_500_000
+#: Repeated lines that go to all tasks as they are; more come to the pages by a join.
+SHIPPED = 100_000
 #: A head stands on this share of a book's pages, and on three; a form explains one that is this many times rarer;
 #: share of a misreading's places that may be on trusted pages.
 HEAD_SHARE, HEAD_PAGES, TIMES, TRUSTED, ENDING_SHARE = 0.05, 3, 5, 0.03, 0.02
@@ -215,22 +211,35 @@ def letters_of(line: str) -> str:
 
 
 class Page:
-    """The lines of a page: which are empty, repeated by the library or garbled, and which stand at its edges."""
+    """The lines of a page: which are empty, repeated by the library or garbled, and which stand at its edges.
 
-    def __init__(self, text: str, repeated: Repeated | None = None):
+    edges_only: lines are looked at from both ends, until four of each end are known.
+    """
+
+    def __init__(self, text: str, repeated: Repeated | None = None, edges_only: bool = False):
         self.lines = lines = text.split("\n")
         self.garbled: set[int] = set()
-        body = [i for i, line in enumerate(lines) if line and not line.isspace()]
-        if repeated:
-            begins, known = repeated.begins, repeated.known
-            body = [i for i in body if not (lines[i].lstrip(_OUTER)[:1].lower() in begins and letters_of(lines[i]) in known)]
-        if _SUSPECT.search(text):
-            self.garbled = {i for i in body if _SUSPECT.search(lines[i]) and spans(lines[i])}
-            body = [i for i in body if i not in self.garbled]
-        self.body = body
-
-    def running(self) -> str:
-        return "\n".join([self.lines[i] for i in self.body])
+        self.repeated: list[int] = []
+        suspect = bool(_SUSPECT.search(text))
+
+        def is_body(i: int) -> bool:
+            line = lines[i]
+            if not line or line.isspace():
+                return False
+            if repeated and line.lstrip(_OUTER)[:1].lower() in repeated.begins and letters_of(line) in repeated.known:
+                self.repeated.append(i)
+                return False
+            if suspect and _SUSPECT.search(line) and spans(line):
+                self.garbled.add(i)
+                return False
+            return True
+
+        if edges_only:
+            first = [i for i, _ in zip((i for i in range(len(lines)) if is_body(i)), range(4))]
+            last = [i for i, _ in zip((i for i in range(len(lines) - 1, first[-1] if len(first) == 4 else len(lines), -1) if is_body(i)), range(4))]
+            self.body = first + last[::-1]
+        else:
+            self.body = [i for i in range(len(lines)) if is_body(i)]
 
     def ends(self) -> tuple[dict[int, int], list[int]]:
         """(numbers that stand alone at the edges, by line; the first and the last other line)."""
@@ -243,29 +252,43 @@ class Page:
 # ---------------------------------------------------------------- tables
 
 
-def _shipped(df: DataFrame, row: callable) -> set | dict | None:
-    """The rows of a cut table as a set or dict, None if there are more than SHIPPED."""
-    if df.limit(SHIPPED + 1).count() > SHIPPED:
-        return None
-    return row(df.toPandas())
-
+Known = Callable[[str, object], Repeated | None]
 
-def _repeated_by_library(frequent: DataFrame) -> dict[str, Repeated]:
-    """library -> its repeated lines. A library has at most (lines of a page / share) of them."""
-    out: dict = {}
-    for lib, letters in frequent.select("library", "letters").collect():
-        out.setdefault(lib, set()).add(letters_of(letters))
-    return {lib: Repeated(known) for lib, known in out.items()}
 
+def _with_repeated(pages: DataFrame, frequent: DataFrame, shipped: int = SHIPPED) -> tuple[DataFrame, Known]:
+    """pages with a column `_repeated`, and what gives the repeated lines of a row's library from it.
 
-def _edge_rows(pages: DataFrame, repeated) -> DataFrame:
+    They go to all tasks if their counted rows are few; then the column is empty, else it holds the library's lines.
+    """
+    frequent = cut(frequent.select("library", "letters"))
+    if frequent.limit(shipped + 1).count() <= shipped:
+        lines: dict[str, set[str]] = {}
+        for lib, letters in frequent.collect():
+            lines.setdefault(lib, set()).add(letters_of(letters))
+        table = pages.sparkSession.sparkContext.broadcast({lib: Repeated(known) for lib, known in lines.items()})
+        return pages.withColumn("_repeated", F.lit(None).cast("array<string>")), lambda lib, _: table.value.get(lib)
+    # at most (lines of a page / share) lines a library
+    joined = salted_lookup(pages, frequent.groupBy("library").agg(F.collect_set("letters").alias("_repeated")), "library", "left")
+    kept: dict[str, Repeated | None] = {}
+
+    def known(lib: str, letters: object) -> Repeated | None:
+        if lib not in kept:
+            if len(kept) > 1000:
+                kept.clear()
+            kept[lib] = None if letters is None else Repeated({letters_of(x) for x in letters})
+        return kept[lib]
+
+    return joined, known
+
+
+def _edge_rows(pages: DataFrame, known: Known) -> DataFrame:
     """(page_id, book, page, words, last, value): words of an edge line, sorted, its last word and its number; or a number alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, book, page, lib, text in zip(*(batch[c] for c in ("page_id", "book", "page", "library", "text"))):
-                p = Page(text, repeated.value.get(lib))
+            for k, book, page, lib, text, repeated in zip(*(batch[c] for c in ("page_id", "book", "page", "library", "text", "_repeated"))):
+                p = Page(text, known(lib, repeated), edges_only=True)
                 numbers, edges = p.ends()
                 for n in numbers.values():
                     rows.append((k, book, page, None, None, n))
@@ -276,7 +299,7 @@ def _edge_rows(pages: DataFrame, repeated) -> DataFrame:
                         rows.append((k, book, page, " ".join(words), _last_word(p.lines[i]), int(m[0]) if len(m) == 1 and len(m[0]) < 6 else None))
             yield pd.DataFrame(rows, columns=["page_id", "book", "page", "words", "last", "value"]).astype({"value": "Int64"})
 
-    return pages.mapInPandas(run, "page_id bigint, book string, page int, words string, last string, value bigint")
+    return pages.select("page_id", "book", "page", "library", "text", "_repeated").mapInPandas(run, "page_id bigint, book string, page int, words string, last string, value bigint")
 
 
 def _last_word(line: str) -> str | None:
@@ -357,32 +380,79 @@ def is_section(line: str, endings: set[str], first: bool) -> bool:
     return _last_word(line) in endings and 2 <= len(_head_words(line)) <= 4
 
 
-def _word_counts(pages: DataFrame, repeated) -> DataFrame:
-    """(word, n, trusted): how often each word stands on all pages, and on those with a text layer."""
+#: Foreign signs inside a word of another script: a misreading whatever the word.
+_MIXED = re.compile("[ऀ-ॣઁ-૥][A-Za-zл0-9२१૨૧'`~*.=^;|!\\[]+[ऀ-ॣઁ-૥]|[A-Za-zл२१૨૧][ऀ-ॣઁ-૥]|[A-Za-z][~*=^`@!+0-9]+[A-Za-zÀ-ɏḀ-ỿ]")
+_FIRST_TOKEN, _LAST_TOKEN = re.compile(r"^\s*\S+"), re.compile(r"\S+\s*$")
+_LINE = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32()), ("trusted", pa.bool_()), ("kinds", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("first", pa.int32()), ("last", pa.int32())])
+LINE = "page_id bigint, line_no int, trusted boolean, kinds array<string>, words array<string>, first int, last int"
 
-    def out(n: Counter, trusted: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64()), "trusted": pa.array([trusted[w] for w in n], pa.int64())})
+
+def _mixed_inside(line: str, first: bool, ends: bool) -> bool:
+    """Whether a foreign sign stands within a word, but for words that are divided at the line's ends."""
+    if not _MIXED.search(line):
+        return False
+    line = _FIRST_TOKEN.sub("", line) if first else line
+    return bool(_MIXED.search(_LAST_TOKEN.sub("", line) if ends else line))
+
+
+def _page_lines(text: str, page: int, repeated: Repeated | None, heads: list[list[str]], name: list[str], offsets: set[int], endings: set[str]) -> Iterator[tuple]:
+    """(line, kinds, words, first, last) of the lines that are not empty or garbled; words[first:last + 1] stand whole on the line."""
+    p = Page(text, repeated)
+    kinds: dict[int, str] = {}
+    for i, n in p.ends()[0].items():
+        if n - page in offsets or (not offsets and not _VERSE_NUMBER.fullmatch(p.lines[i].translate(_DIGITS))):
+            kinds[i] = "page_number"
+    body = [i for i in p.body if i not in kinds]
+    for i in dict.fromkeys(body[:2] + body[-2:]):
+        if len(p.lines[i]) <= 80 and (is_head(_head_words(p.lines[i]), heads, name) or i in (body[0], body[-1]) and is_section(p.lines[i], endings, i == body[0])):
+            kinds[i] = "header"
+    for i in p.repeated:
+        yield i, ["repeated"], [], 0, -1
+    for i, kind in kinds.items():
+        yield i, [kind], [], 0, -1
+    body, before = [i for i in body if i not in kinds], False
+    for i in body:
+        line = p.lines[i]
+        ends = i != body[-1] and bool(_DIVIDED.search(line))
+        words, own = tokens(line), ["hyphen"] if ends else []
+        if _mixed_inside(line, before, ends):
+            own.append("misread")
+        if own or words:
+            yield i, own, words, int(before), len(words) - 1 - ends
+        before = ends
+
+
+def read_lines(pages: DataFrame, known: Known, endings: set[str]) -> DataFrame:
+    """LINE rows of pages (page_id, page, library, source, text, _repeated, heads, offsets, name): the one look at whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, trusted = Counter(), Counter()
+        names: dict[str, list[str]] = {}
         for batch in batches:
-            for lib, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                # a word divided at a line end counts neither in parts nor whole
-                words = tokens(_DIVIDED_WORD.sub(" ", Page(text, repeated.value.get(lib)).running()))
-                n.update(words)
-                if source == "text":
-                    trusted.update(words)
-            if len(n) > 300_000:
-                yield out(n, trusted)
-                n, trusted = Counter(), Counter()
-        yield out(n, trusted)
+            out: list[list] = [[] for _ in _LINE]
+            for k, page, lib, source, text, repeated, heads, offsets, name in zip(*(batch.column(c).to_pylist() for c in ("page_id", "page", "library", "source", "text", "_repeated", "heads", "offsets", "name"))):
+                if name is not None and name not in names:
+                    names[name] = _head_words(name)
+                heads = [h["words"].split() for h in heads or ()]
+                for i, kinds, words, first, last in _page_lines(text, page, known(lib, repeated), heads, names.get(name, []), set(offsets or ()), endings):
+                    for column, value in zip(out, (k, i + 1, source == "text", kinds, words, first, last)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _LINE)], schema=_LINE)
+
+    return pages.select("page_id", "page", "library", "source", "text", "_repeated", "heads", "offsets", "name").mapInArrow(run, LINE)
+
+
+def _whole(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.col("last") >= F.col("first"))
+
 
-    rows = pages.select("library", "source", "text").mapInArrow(run, "word string, n bigint, trusted bigint")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
+def word_counts(lines: DataFrame) -> DataFrame:
+    """(word, n, trusted): how often each word stands on all pages, and on those with a text layer. Divided words don't count."""
+    words = _whole(lines).select("trusted", F.explode(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 1)).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"), F.count_if("trusted").alias("trusted"))
 
 
 def misreadings(counts: DataFrame) -> DataFrame:
-    """(word, doubtful, forms array<struct<cost, n, form, trusted, times>>): words that can be misreadings of frequent forms.
+    """(word, s, doubtful, forms array<struct<cost, n, form, trusted, times>>): words that can be misreadings of frequent forms.
 
     A doubtful word hardly stands on trusted pages and its forms are TIMES as frequent. The others are usual words, and
     their forms other usual words of one confusion. times: how often the form stands for one of the word.
@@ -392,219 +462,146 @@ def misreadings(counts: DataFrame) -> DataFrame:
     def skeletons(words: pd.Series) -> pd.Series:
         return words.map(skeleton)
 
-    keyed = cut(counts).filter(F.length("word") >= 2).withColumn("s", skeletons("word")).filter("s <> ''")
+    keyed = counts.filter(F.length("word") >= 2).withColumn("s", skeletons("word")).filter("s <> ''")
     keyed = cut(keyed.withColumn("doubtful", F.col("trusted") <= TRUSTED * F.col("n")))
     forms = keyed.filter("n >= 3").select("s", F.col("word").alias("form"), F.col("n").alias("fn"), (F.col("trusted") > 0).alias("ft"), F.col("doubtful").alias("fd"))
     possible = F.when(F.col("doubtful"), F.col("fn") >= TIMES * F.col("n")).otherwise(~F.col("fd") & (F.col("form") != F.col("word")) & (F.least("n", "fn") >= TIMES))
-    pairs = keyed.join(forms, "s").filter(possible & (F.abs(F.length("form") - F.length("word")) <= 2))
+    pairs = salted_lookup(keyed, forms, "s").filter(possible & (F.abs(F.length("form") - F.length("word")) <= 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for w, n, d, f, fn, ft in zip(*(batch[c] for c in ("word", "n", "doubtful", "form", "fn", "ft"))):
+            for w, s, n, d, f, fn, ft in zip(*(batch[c] for c in ("word", "s", "n", "doubtful", "form", "fn", "ft"))):
                 for most in (1, 2) if d and min(len(w), len(f)) >= 6 else (1,):
                     if explained(f, w, most):
-                        rows.append((w, d, most, fn, f, ft, fn / n))
+                        rows.append((w, s, d, most, fn, f, ft, fn / n))
                         break
-            yield pd.DataFrame(rows, columns=["word", "doubtful", "cost", "n", "form", "trusted", "times"])
-
-    found = pairs.select("word", "n", "doubtful", "form", "fn", "ft").mapInPandas(run, "word string, doubtful boolean, cost int, n bigint, form string, trusted boolean, times double")
-    return found.groupBy("word", "doubtful").agg(F.collect_list(F.struct("cost", "n", "form", "trusted", "times")).alias("forms"))
-
-
-def _hash(context: str) -> int:
-    return xxhash.xxh64_intdigest(context) - (1 << 63)
-
-
-class Choice:
-    """What the words of a place can be: candidates by word, and the words that stand beside the same neighbours elsewhere."""
-
-    def __init__(self, doubtful: dict[str, list[tuple]], usual: dict[str, list[tuple]]):
-        self.doubtful, self.usual = doubtful, usual
-        forms = lambda table: {f[2] for own in table.values() for f in own} | table.keys()
-        self.beside, self.between = forms(doubtful), forms(usual)
-        self.contexts: dict[int, dict[str, int]] = {}
-        self._key = lru_cache(200_000)(skeleton)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_key"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self._key = lru_cache(200_000)(skeleton)
-
-    def sides(self, words: list[str], i: int) -> tuple[int | None, int | None]:
-        """Keys of the word before and of the word after; a word and its forms have the same."""
-        s = self._key(words[i])
-        return _hash(f"l\t{words[i - 1]}\t{s}") if i else None, _hash(f"r\t{s}\t{words[i + 1]}") if i + 1 < len(words) else None
-
-    def both(self, words: list[str], i: int) -> int | None:
-        """Key of the two words beside it together."""
-        return _hash(f"t\t{words[i - 1]}\t{self._key(words[i])}\t{words[i + 1]}") if 0 < i < len(words) - 1 else None
-
-    def form(self, words: list[str], i: int, trusted: bool) -> str | None:
-        """The form that stands at this place, None if the word is right."""
-        w = words[i]
-        if own := self.doubtful.get(w):
-            before, after = (self.contexts.get(k, {}) for k in self.sides(words, i))
-            ranked = [(-(f in before) - (f in after), cost, -n, f) for cost, n, f, known, _ in own if known or f in before or f in after]
-            return min(ranked)[3] if ranked else None
-        if not trusted and (own := self.usual.get(w)):
-            both = self.contexts.get(self.both(words, i), {})
-            found = [(-both[f], -n, f) for _, n, f, _, times in own if both.get(f, 0) >= TIMES * max(1, times) * both.get(w, 1)]
-            return min(found)[2] if found else None
-        return None
-
-
-def words_of_lines(lines: list[str], body: list[int]) -> Iterator[tuple[int, list[str], bool, bool]]:
-    """(line, its words, whether the first goes on a divided word, whether the last is divided)."""
-    before = False
-    for at, i in enumerate(body):
-        ends = bool(_DIVIDED.search(lines[i])) and at + 1 < len(body)
-        yield i, tokens(lines[i]), before, ends
-        before = ends
-
+            yield pd.DataFrame(rows, columns=["word", "s", "doubtful", "cost", "n", "form", "trusted", "times"])
 
-def _contexts(pages: DataFrame, repeated, choice) -> DataFrame:
-    """(g, words array<struct<word, n>>): words that stand beside the same neighbours, of contexts that can decide a place."""
+    found = pairs.select("word", "s", "n", "doubtful", "form", "fn", "ft").mapInPandas(run, "word string, s string, doubtful boolean, cost int, n bigint, form string, trusted boolean, times double")
+    return found.groupBy("word", "s", "doubtful").agg(F.collect_list(F.struct("cost", "n", "form", "trusted", "times")).alias("forms"))
 
-    def out(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"g": pa.array([k[0] for k in n], pa.int64()), "word": pa.array([k[1] for k in n], pa.string()), "doubtful": pa.array([k[2] for k in n], pa.int32()), "n": pa.array(list(n.values()), pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, n = choice.value, Counter()
-        for batch in batches:
-            for lib, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                p = Page(text, repeated.value.get(lib))
-                for _, words, first, last in words_of_lines(p.lines, p.body):
-                    for i in range(first, len(words) - last):
-                        w = words[i]
-                        if w in c.beside:
-                            d = int(w in c.doubtful)
-                            for g in c.sides(words, i):
-                                if g is not None:
-                                    n[g, w, d] += 1
-                        if w in c.between and (g := c.both(words, i)) is not None:
-                            n[g, w, -1] += 1
-            if len(n) > 120_000:
-                yield out(n)
-                n = Counter()
-        yield out(n)
-
-    rows = pages.select("library", "text").mapInArrow(run, "g bigint, word string, doubtful int, n bigint").repartition("g")
-    by_word = rows.groupBy("g", "word").agg(F.max("doubtful").alias("doubtful"), F.sum("n").alias("n"))
-    groups = by_word.groupBy("g").agg(F.collect_list(F.struct("word", "n")).alias("words"), F.max("doubtful").alias("d"), F.min("n").alias("least"), F.max("n").alias("most"))
-    # what stands alone decides nothing
-    decides = F.when(F.col("d") == -1, F.col("most") >= TIMES * F.col("least")).otherwise(F.col("d") == 1)
-    return groups.filter((F.size("words") > 1) & decides).select("g", "words")
+def _places(lines: DataFrame, words: DataFrame, *more: str) -> DataFrame:
+    """Places of those of `words` (word, s, ...): page_id, line_no, i, word, what `words` has, and the words before and after, null at the ends."""
+    at = F.transform(F.sequence("first", "last"), lambda i: F.struct(i.alias("i"), F.get("words", i).alias("word"), F.when(i > 0, F.get("words", i - 1)).alias("before"), F.get("words", i + 1).alias("after")))
+    places = _whole(lines).select("page_id", "line_no", *more, F.inline(at))
+    words, small = broadcast_if_small(words, 400)
+    return places.join(words, "word") if small else salted_lookup(places, words, "word")
 
 
-#: Foreign signs inside a word of another script: a misreading whatever the word.
-_MIXED = re.compile("[ऀ-ॣઁ-૥][A-Za-zл0-9२१૨૧'`~*.=^;|!\\[]+[ऀ-ॣઁ-૥]|[A-Za-zл२१૨૧][ऀ-ॣઁ-૥]|[A-Za-z][~*=^`@!+0-9]+[A-Za-zÀ-ɏḀ-ỿ]")
+def _context(kind: str, *words: str) -> Column:
+    """Key of a context: a word and its forms have the same skeleton, so the same key at the same neighbours."""
+    return F.xxhash64(F.lit(kind), *words)
 
 
-_MARKED = re.compile(f"[-‐‑¬­][ \t\u00a0]*\n|{_MIXED.pattern}")
+def _sides(places: DataFrame, *keep: str) -> DataFrame:
+    """(keep, g): the context with the word before, and that with the word after."""
+    return places.select(*keep, F.explode(F.array_compact(F.array(F.when(F.col("before").isNotNull(), _context("l", "before", "s")), F.when(F.col("after").isNotNull(), _context("r", "s", "after"))))).alias("g"))
 
 
-def _classified(pages: DataFrame, repeated, wrong, with_text: bool) -> DataFrame:
-    """(page_id, line_no, kind) of the cases; with_text: every line with kinds, text and words put right."""
+def doubtful_places(lines: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(page_id, line_no, i, word, form): places of doubtful words with the form that stands there.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        choice, endings = wrong.value
-        contested = choice.doubtful.keys() | choice.usual.keys()
-        for batch in batches:
-            rows = []
-            for k, page, lib, source, text, heads, offsets, name in zip(*(batch[c] for c in ("page_id", "page", "library", "source", "text", "heads", "offsets", "name"))):
-                p = Page(text, repeated.value.get(lib))
-                heads = [] if heads is None else [h["words"].split() for h in heads]
-                name = _head_words(name) if isinstance(name, str) else []
-                offsets = set() if offsets is None else set(offsets)
-                kinds: dict[int, list[str]] = {}
-                for i, n in p.ends()[0].items():
-                    if n - page in offsets or (not offsets and not _VERSE_NUMBER.fullmatch(p.lines[i].translate(_DIGITS))):
-                        kinds[i] = ["page_number"]
-                body = [i for i in p.body if i not in kinds]
-                for i in dict.fromkeys(body[:2] + body[-2:]):
-                    if len(p.lines[i]) <= 80 and (is_head(_head_words(p.lines[i]), heads, name) or i in (body[0], body[-1]) and is_section(p.lines[i], endings, i == body[0])):
-                        kinds[i] = ["header"]
-                body = [i for i in body if i not in kinds]
-                fixed = {}
-                # most pages need no look at their single lines
-                plain = not with_text and not _MARKED.search(text) and contested.isdisjoint(tokens("\n".join([p.lines[i] for i in body])))
-                for i, words, first, ends in () if plain else words_of_lines(p.lines, body):
-                    line, own = p.lines[i], ["hyphen"] if ends else []
-                    # a word that is divided is none here
-                    inner = range(first, len(words) - ends)
-                    forms = [choice.form(words, j, source == "text") if j in inner and w in contested else None for j, w in enumerate(words)]
-                    if any(forms) or (_MIXED.search(line) and any(_MIXED.search(words[j]) for j in inner)):
-                        own.append("misread")
-                    if own:
-                        kinds[i] = own
-                    if with_text:
-                        for w in sorted({w for w, f in zip(words, forms) if f}, key=len, reverse=True):
-                            each = iter([f for x, f in zip(words, forms) if x == w])
-                            line = re.sub(rf"(?<![{_LETTERS}]){re.escape(w)}(?![{_LETTERS}])", lambda m, each=each: next(each, None) or m[0], line)
-                        fixed[i] = line
-                if with_text:
-                    repeated_lines = set(range(len(p.lines))) - set(p.body) - p.garbled
-                    for i, line in enumerate(p.lines):
-                        gone = i in repeated_lines and line.strip() != "" or kinds.get(i) in (["page_number"], ["header"])
-                        rows.append((k, i + 1, "" if gone else fixed.get(i, line), bool(gone), "hyphen" in kinds.get(i, ())))
-                else:
-                    rows += [(k, i + 1, kind) for i, own in kinds.items() for kind in own]
-            yield pd.DataFrame(rows, columns=["page_id", "line_no", "line", "gone", "hyphen"] if with_text else ["page_id", "line_no", "kind"])
-
-    schema = "page_id bigint, line_no int, " + ("line string, gone boolean, hyphen boolean" if with_text else "kind string")
-    return pages.mapInPandas(run, schema)
-
-
-def _prepared(pages: DataFrame, books: DataFrame | None) -> tuple[DataFrame, object, object]:
-    sc = pages.sparkSession.sparkContext
+    Of several forms, or of one that trusted pages lack, those count that trusted pages have or that stand beside the
+    same neighbour elsewhere: by neighbours, cost, frequency.
+    """
+    doubtful = wrong.filter("doubtful").withColumn("sure", (F.size("forms") == 1) & F.col("forms")[0]["trusted"])
+    places = cut(_places(lines, doubtful.select("word", "s", "sure", "forms")))
+    key = ("page_id", "line_no", "i", "word")
+    sure = places.filter("sure").select(*key, F.col("forms")[0]["form"].alias("form"))
+    open_ = places.filter(~F.col("sure"))
+    asked = cut(_sides(open_, *key, "forms"))
+    contexts = cut(asked.select("g").distinct())
+    forms = cut(doubtful.filter(~F.col("sure")).select("s", F.explode("forms.form").alias("word")).distinct())
+    seen = _sides(_places(lines, forms), "word", "g")
+    here, small = broadcast_if_small(contexts, 64)
+    seen = (seen.join(here, "g", "left_semi") if small else salted_lookup(seen, here, "g", "left_semi")).distinct()
+    each = asked.select(*key, "g", F.explode("forms.form").alias("form"))
+    support = each.join(seen.select("g", F.col("word").alias("form")), ["g", "form"]).groupBy(*key, "form").agg(F.count("*").alias("beside"))
+    choices = open_.select(*key, F.inline("forms")).join(support, [*key, "form"], "left").withColumn("beside", F.coalesce("beside", F.lit(0))).filter("trusted or beside > 0")
+    best = choices.groupBy(*key).agg(F.min_by("form", F.struct(-F.col("beside"), "cost", -F.col("n"), "form")).alias("form"))
+    return sure.unionByName(best)
+
+
+def usual_places(lines: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(page_id, line_no, i, word, form): places on untrusted pages of a usual word where, between the words beside it, another usual
+    one is TIMES as frequent as it, and as by their frequency."""
+    usual = wrong.filter(~F.col("doubtful"))
+    words = cut(usual.select("word", "s").union(usual.select(F.explode("forms.form").alias("word"), "s")).distinct())
+    between = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), _context("t", "before", "s", "after"))
+    counted = _places(lines, words).select("word", between.alias("g")).filter("g is not null").groupBy("g", "word").agg(F.count("*").alias("m"))
+    per = counted.groupBy("g").agg(F.collect_list(F.struct("word", "m")).alias("here")).filter("size(here) > 1")
+    pairs = per.select("g", F.explode("here").alias("x"), "here").select("g", F.col("x.word").alias("word"), F.col("x.m").alias("own"), F.explode("here").alias("y"))
+    pairs = pairs.select("g", "word", "own", F.col("y.word").alias("form"), F.col("y.m").alias("m")).filter((F.col("form") != F.col("word")) & (F.col("m") >= TIMES * F.col("own")))
+    forms = usual.select("word", F.inline("forms")).select("word", "form", "n", "times")
+    enough = pairs.join(forms, ["word", "form"]).filter(F.col("m") >= TIMES * F.greatest(F.lit(1.0), "times") * F.col("own"))
+    decided = cut(enough.groupBy("g", "word").agg(F.min_by("form", F.struct(-F.col("m"), -F.col("n"), "form")).alias("form")))
+    at = _places(lines.filter(~F.col("trusted")), decided.join(words, "word", "left_semi").select("word").distinct().join(words, "word")).withColumn("g", between)
+    return at.join(decided, ["g", "word"]).select("page_id", "line_no", "i", "word", "form")
+
+
+def _prepared(pages: DataFrame, books: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(LINE rows, places of misread words)."""
     pages = pages.select("page_id", "book", "page", "library", "source", "text").filter("text is not null and trim(text) <> ''")
     pages = pages.fillna({"page": 0, "book": "", "library": ""})
-    frequent = boilerplate.frequent_lines(pages, "library", "book", "text")
-    repeated = sc.broadcast(_repeated_by_library(frequent))
-    edges = cut(_edge_rows(pages.select("page_id", "book", "page", "library", "text"), repeated))
+    pages, known = _with_repeated(pages, boilerplate.frequent_lines(pages, "library", "book", "text"))
+    edges = cut(_edge_rows(pages, known))
     recurring = cut(_recurring(edges))
     endings = endings_of_heads(edges, recurring)
-    heads = cut(heads_of_books(edges, recurring, books))
-    wrong = cut(misreadings(_word_counts(pages.select("library", "source", "text"), repeated)))
-
-    def by_word(doubtful: bool) -> dict | None:
-        rows = wrong.filter(F.col("doubtful") == doubtful).select("word", "forms")
-        return _shipped(rows, lambda df: {w: [tuple(f) for f in forms] for w, forms in zip(df["word"], df["forms"])})
-
-    doubtful, usual = by_word(True), by_word(False)
-    if doubtful is None or usual is None:
-        raise MemoryError("more misreadings than SHIPPED: raise it, or clean the pages in parts of the corpus")
-    choice = Choice(doubtful, usual)
-    contexts = _shipped(cut(_contexts(pages, repeated, sc.broadcast(choice))), lambda df: {g: {x["word"]: x["n"] for x in words} for g, words in zip(df["g"], df["words"])})
-    if contexts is None:
-        raise MemoryError("more contexts of misreadings than SHIPPED: raise it, or clean the pages in parts of the corpus")
-    choice.contexts = contexts
-    # a book has one row of heads, but may hold a third of the pages: it goes to the pages unless it is too large
-    if heads.limit(200_001).count() <= 200_000:
-        heads = F.broadcast(heads)
-    joined = pages.select("page_id", "book", "page", "library", "source", "text").join(heads, "book", "left").drop("book")
-    return joined, repeated, sc.broadcast((choice, endings))
+    heads, small = broadcast_if_small(cut(heads_of_books(edges, recurring, books)), 4_000)
+    # a book has one row of heads, but may hold a third of the pages
+    joined = pages.join(heads, "book", "left") if small else salted_lookup(pages, heads, "book", "left")
+    lines = cut(read_lines(joined, known, endings))
+    wrong = cut(misreadings(word_counts(lines)))
+    return lines, cut(doubtful_places(lines, wrong).unionByName(usual_places(lines, wrong)))
 
 
 def damaged_lines(pages: DataFrame, books: DataFrame | None = None) -> DataFrame:
     """(page_id, line_no, kind): lines, from 1 over all lines, that are a `header`, `page_number`, `hyphen` or `misread`.
 
     Null and blank texts give none; null book, library and page count as one book, none and place 0; a null
-    source isn't trusted. Repeated rows of a page give repeated rows. An empty table gives none.
+    source isn't trusted. Each case comes once, also of repeated rows of a page. An empty table gives none.
     """
-    return _classified(*_prepared(pages, books), with_text=False)
+    lines, places = _prepared(pages, books)
+    by_look = lines.filter(F.size("kinds") > 0).select("page_id", "line_no", F.explode("kinds").alias("kind")).filter("kind <> 'repeated'")
+    return by_look.union(places.select("page_id", "line_no", F.lit("misread").alias("kind"))).distinct()
+
+
+@F.pandas_udf(StringType())
+def _put_right(lines: pd.Series, fixes: pd.Series) -> pd.Series:
+    """Lines with the words at some of their places exchanged."""
+
+    def one(line: str, own) -> str:
+        by_place, words = {f["i"]: f["form"] for f in own}, tokens(line)
+        for w in sorted({words[i] for i in by_place if i < len(words)}, key=len, reverse=True):
+            each = iter([by_place.get(i) for i, x in enumerate(words) if x == w])
+            line = re.sub(rf"(?<![{_LETTERS}]){re.escape(w)}(?![{_LETTERS}])", lambda m: next(each, None) or m[0], line, flags=re.IGNORECASE)
+        return line
+
+    return pd.Series([x if own is None else one(x, own) for x, own in zip(lines, fixes)], dtype=object)
 
 
 def clean_pages(pages: DataFrame, books: DataFrame | None = None) -> DataFrame:
-    """(page_id, text): each page with text as clean running text or verse, put together by windows over its lines."""
-    lines = _classified(*_prepared(pages, books), with_text=True).filter(~F.col("gone"))
+    """(page_id, text): each page with text as clean running text or verse, put together by windows over its lines.
+
+    Nulls, blanks and empty tables as in damaged_lines; page_id is unique.
+    """
+    lines, places = _prepared(pages, books)
+    fixes = places.groupBy("page_id", "line_no").agg(F.collect_list(F.struct("i", "form")).alias("fixes"))
+    gone = F.arrays_overlap("kinds", F.array(*map(F.lit, ("repeated", "header", "page_number"))))
+    marks = lines.filter(F.size("kinds") > 0).select("page_id", "line_no", gone.alias("gone"), F.array_contains("kinds", "hyphen").alias("hyphen"))
+    marks = marks.join(fixes, ["page_id", "line_no"], "full").groupBy("page_id").agg(F.collect_list(F.struct("line_no", "gone", "hyphen", "fixes")).alias("marks"))
+    texts = pages.filter("text is not null and trim(text) <> ''").select("page_id", "text").join(marks, "page_id", "left")
+    rows = texts.select("page_id", F.posexplode(F.split("text", "\n")).alias("at", "line"), "marks")
+    rows = rows.select("page_id", (F.col("at") + 1).alias("line_no"), "line", F.get(F.filter("marks", lambda x: x["line_no"] == F.col("at") + 1), F.lit(0)).alias("m"))
+    rows = rows.filter(~F.coalesce("m.gone", F.lit(False))).select("page_id", "line_no", "line", F.col("m.fixes").alias("fixes"), F.coalesce("m.hyphen", F.lit(False)).alias("hyphen"))
+    right = F.when(F.col("fixes").isNotNull(), _put_right("line", "fixes")).otherwise(F.col("line"))
+    rows = rows.withColumn("line", right).drop("fixes")
     order = W.partitionBy("page_id").orderBy("line_no")
     ends = r"(?:[।॥|.,!?…:;०0\d)\]”]|\.{3})\s*$"
     joined = (
-        lines.withColumn("before", F.lag("line").over(order))
+        rows.withColumn("before", F.lag("line").over(order))
         .withColumn("divided", F.coalesce(F.lag("hyphen").over(order), F.lit(False)))
         # a line runs on if the one before is long and has no end of a verse or sentence
         .withColumn("glue", F.when(F.col("before").isNull(), "").when(F.col("divided"), "").when((F.length("before") >= 35) & ~F.col("before").rlike(ends) & (F.col("line") != ""), " ").otherwise("\n"))
