@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +39,7 @@ SHIPPED = 100_000
 #: share of a misreading's places that may be on trusted pages.
 HEAD_SHARE, HEAD_PAGES, TIMES, TRUSTED, ENDING_SHARE = 0.05, 3, 5, 0.03, 0.02
 #: Signs by which a line end divides a word.
+_HYPHENS = "-‐‑¬\u00ad"
 _DIVIDED = re.compile(r"[^\W\d_\-‐¬][ऀ-ॣઁ-૥]*[-‐‑¬­]\s*$")
 _DIVIDED_WORD = re.compile(r"\S*[^\W\d_\-‐¬][ऀ-ॣઁ-૥]*[-‐‑¬­]\s*\n\s*\S*")
 _DIGITS = str.maketrans("०१२३४५६७८९૦૧૨૩૪૫૬૭૮૯", "01234567890123456789")
@@ -154,25 +156,36 @@ def explained(right: str, read: str, most: int) -> bool:
     return False
 
 
+class _Tokens(dict):
+    """Piece of a line -> the word it is, '' for none; kept, as pieces recur."""
+
+    def __missing__(self, piece: str) -> str:
+        t = piece.strip(_EDGES)
+        if t and not t.isdigit() and t[-1] == "0":
+            t = t.rstrip("0").strip(_EDGES)
+        if not t or t.isdigit():
+            t = ""
+        elif not "ऀ" <= t[0] <= "૿":
+            t = t.lower()
+        if len(self) > 200_000:
+            self.clear()
+        self[piece] = t
+        return t
+
+
+_token = _Tokens()
+
+
 def tokens(line: str) -> list[str]:
     """The words of a line, lower case, without punctuation at their edges and refrain marks; numbers are none."""
-    out = []
-    for t in _PARTS.split(line):
-        t = t.strip(_EDGES)
-        if not t or t.isdigit():
-            continue
-        if t[-1] == "0":
-            t = t.rstrip("0").strip(_EDGES)
-            if not t or t.isdigit():
-                continue
-        out.append(t if "ऀ" <= t[0] <= "૿" else t.lower())
-    return out
+    return [t for piece in _PARTS.split(line) if (t := _token[piece])]
 
 
 #: Marks inside a word, put there by misreading.
 _INSIDE = re.compile(f"(?<=[{_LETTERS}])['`~*.=^;!|+_२१૨૧0-9]+(?=[{_LETTERS}])")
 
 
+@lru_cache(20_000)
 def _head_words(line: str) -> list[str]:
     """The folded words of an edge line without numbers and brackets, sorted."""
     line = _INSIDE.sub("", line.translate(TO_DEVANAGARI))
@@ -180,7 +193,7 @@ def _head_words(line: str) -> list[str]:
 
 
 def _number_of(line: str) -> int | None:
-    m = _NUMBER_LINE.fullmatch(line.translate(_DIGITS))
+    m = _NUMBER_LINE.fullmatch(line)
     return int(m[1]) if m else None
 
 
@@ -302,6 +315,7 @@ def _edge_rows(pages: DataFrame, known: Known) -> DataFrame:
     return pages.select("page_id", "book", "page", "library", "text", "_repeated").mapInPandas(run, "page_id bigint, book string, page int, words string, last string, value bigint")
 
 
+@lru_cache(20_000)
 def _last_word(line: str) -> str | None:
     words = _NOT_LETTERS.sub(" ", _INSIDE.sub("", line.translate(TO_DEVANAGARI))).lower().split()
     return folded(words[-1]) if words else None
@@ -383,8 +397,8 @@ def is_section(line: str, endings: set[str], first: bool) -> bool:
 #: Foreign signs inside a word of another script: a misreading whatever the word.
 _MIXED = re.compile("[ऀ-ॣઁ-૥][A-Za-zл0-9२१૨૧'`~*.=^;|!\\[]+[ऀ-ॣઁ-૥]|[A-Za-zл२१૨૧][ऀ-ॣઁ-૥]|[A-Za-z][~*=^`@!+0-9]+[A-Za-zÀ-ɏḀ-ỿ]")
 _FIRST_TOKEN, _LAST_TOKEN = re.compile(r"^\s*\S+"), re.compile(r"\S+\s*$")
-_LINE = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32()), ("trusted", pa.bool_()), ("kinds", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("first", pa.int32()), ("last", pa.int32())])
-LINE = "page_id bigint, line_no int, trusted boolean, kinds array<string>, words array<string>, first int, last int"
+_LINE = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32()), ("trusted", pa.bool_()), ("kinds", pa.list_(pa.string())), ("words", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
+LINE = "page_id bigint, line_no int, trusted boolean, kinds array<string>, words string, first int, last int"
 
 
 def _mixed_inside(line: str, first: bool, ends: bool) -> bool:
@@ -410,12 +424,12 @@ def _page_lines(text: str, page: int, repeated: Repeated | None, heads: list[lis
         yield i, ["repeated"], [], 0, -1
     for i, kind in kinds.items():
         yield i, [kind], [], 0, -1
-    body, before = [i for i in body if i not in kinds], False
+    body, before, mixed = [i for i in body if i not in kinds], False, bool(_MIXED.search(text))
     for i in body:
         line = p.lines[i]
-        ends = i != body[-1] and bool(_DIVIDED.search(line))
+        ends = i != body[-1] and line.rstrip()[-1] in _HYPHENS and bool(_DIVIDED.search(line))
         words, own = tokens(line), ["hyphen"] if ends else []
-        if _mixed_inside(line, before, ends):
+        if mixed and _mixed_inside(line, before, ends):
             own.append("misread")
         if own or words:
             yield i, own, words, int(before), len(words) - 1 - ends
@@ -434,7 +448,7 @@ def read_lines(pages: DataFrame, known: Known, endings: set[str]) -> DataFrame:
                     names[name] = _head_words(name)
                 heads = [h["words"].split() for h in heads or ()]
                 for i, kinds, words, first, last in _page_lines(text, page, known(lib, repeated), heads, names.get(name, []), set(offsets or ()), endings):
-                    for column, value in zip(out, (k, i + 1, source == "text", kinds, words, first, last)):
+                    for column, value in zip(out, (k, i + 1, source == "text", kinds, " ".join(words), first, last)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _LINE)], schema=_LINE)
 
@@ -442,7 +456,8 @@ def read_lines(pages: DataFrame, known: Known, endings: set[str]) -> DataFrame:
 
 
 def _whole(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("last") >= F.col("first"))
+    """The lines with whole words; no token holds a space."""
+    return lines.filter(F.col("last") >= F.col("first")).withColumn("words", F.split("words", " "))
 
 
 def word_counts(lines: DataFrame) -> DataFrame:
@@ -462,7 +477,8 @@ def misreadings(counts: DataFrame) -> DataFrame:
     def skeletons(words: pd.Series) -> pd.Series:
         return words.map(skeleton)
 
-    keyed = counts.filter(F.length("word") >= 2).withColumn("s", skeletons("word")).filter("s <> ''")
+    # cut, else the filter on skeletons goes below the count and every token gets one
+    keyed = cut(counts).filter(F.length("word") >= 2).withColumn("s", skeletons("word")).filter("s <> ''")
     keyed = cut(keyed.withColumn("doubtful", F.col("trusted") <= TRUSTED * F.col("n")))
     forms = keyed.filter("n >= 3").select("s", F.col("word").alias("form"), F.col("n").alias("fn"), (F.col("trusted") > 0).alias("ft"), F.col("doubtful").alias("fd"))
     possible = F.when(F.col("doubtful"), F.col("fn") >= TIMES * F.col("n")).otherwise(~F.col("fd") & (F.col("form") != F.col("word")) & (F.least("n", "fn") >= TIMES))
@@ -549,7 +565,7 @@ def _prepared(pages: DataFrame, books: DataFrame | None) -> tuple[DataFrame, Dat
     edges = cut(_edge_rows(pages, known))
     recurring = cut(_recurring(edges))
     endings = endings_of_heads(edges, recurring)
-    heads, small = broadcast_if_small(cut(heads_of_books(edges, recurring, books)), 4_000)
+    heads, small = broadcast_if_small(cut(heads_of_books(edges, recurring, books)))
     # a book has one row of heads, but may hold a third of the pages
     joined = pages.join(heads, "book", "left") if small else salted_lookup(pages, heads, "book", "left")
     lines = cut(read_lines(joined, known, endings))
