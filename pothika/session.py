@@ -85,12 +85,16 @@ def released(*cuts: DataFrame) -> None:
                 delete(df.sparkSession, folder)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """df with a broadcast hint if its counted rows fit into limit, else df as it is.
+def broadcast_if_small(df: DataFrame, row_bytes: int | None = None, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if its rows fit into limit, counted by a bound of their size or, without one, by twice their
+    length as JSON; else df as it is.
 
-    df should be cut or cheap, as it is counted. The second value says which it was.
+    df should be cut or cheap, as it is read for that. The second value says which it was.
     """
-    small = df.limit(limit // row_bytes + 1).count() * row_bytes <= limit
+    if row_bytes is None:
+        small = 2 * (df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= limit
+    else:
+        small = df.limit(limit // row_bytes + 1).count() * row_bytes <= limit
     return (F.broadcast(df), True) if small else (df, False)
 
 
