@@ -21,8 +21,9 @@ from .words import INVISIBLE, TO_DEVANAGARI
 
 #: Ranks of a profile, longest n-gram, labelled rows used at most (by id), running words that make a language count.
 RANKS, LONGEST, SAMPLES, RUN = 1200, 5, 20_000, 12
-#: Price of a change of language, in out-of-place shares of a word.
-CHANGE = 2.0
+#: Price of a change of language, in out-of-place shares of a word: two changes cost what a run of RUN words has to gain by a
+#: twelfth a word.
+CHANGE = 0.5
 LANGUAGES = ["hi", "gu", "sa", "mr", "en"]
 #: Names and codes of the languages; anything else names none.
 NAMES = {
@@ -191,11 +192,12 @@ def stretches(df: DataFrame, samples: DataFrame, key: str, text: str, label: str
 def wrong_labels(segments: DataFrame, key: str) -> DataFrame:
     """(key, lang) of texts whose label is missing, names none or a wrong language, and of texts in several languages.
 
-    One row for each language with a stretch of at least RUN words. The stretches of a text stand in one
+    One row for each language with a stretch of at least RUN words; rows of one key count as one text, of their labels the
+    first in order counts. The stretches of a text stand in one
     partition each as they come, and are few, so they are gathered per text.
     """
     per = segments.groupBy(key).agg(
-        F.first("label_lang").alias("label"),
+        F.min("label_lang").alias("label"),
         F.array_distinct(F.collect_list(F.when(F.col("words") >= RUN, F.col("lang")))).alias("langs"),
     )
     case = (F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label"))
