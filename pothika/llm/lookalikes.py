@@ -31,6 +31,8 @@ SEQUENCES = [
     ("अा", "आ"), ("अो", "ओ"), ("अौ", "औ"), ("अॉ", "ऑ"), ("एे", "ऐ"), ("ाे", "ो"), ("ाै", "ौ"), ("ाॅ", "ॉ"), ("आे", "ओ"), ("आै", "औ"), ("उ॒", "ऊ"),
     ("અા", "આ"), ("અો", "ઓ"), ("અૌ", "ઔ"), ("અૉ", "ઑ"), ("અે", "એ"), ("અૈ", "ઐ"), ("ાે", "ો"), ("ાૈ", "ૌ"), ("આે", "ઓ"), ("આૈ", "ઔ"),
 ]
+#: A vowel sign or a mark before the nukta, in both scripts: it looks as after it, but composing leaves it there.
+SIGN_BEFORE_NUKTA = [("[\\x{0901}-\\x{0903}\\x{093A}\\x{093B}\\x{093E}-\\x{094C}\\x{0962}\\x{0963}]+", "\u093c"), ("[\\x{0A81}-\\x{0A83}\\x{0ABE}-\\x{0ACC}\\x{0AE2}\\x{0AE3}]+", "\u0abc")]
 #: The letters and signs of both scripts, in the same order; dandas and digits stay out.
 DEVANAGARI = "".join(chr(c) for c in range(0x900, 0x980) if not 0x964 <= c <= 0x96F)
 GUJARATI = "".join(chr(c + 0x180) for c in range(0x900, 0x980) if not 0x964 <= c <= 0x96F)
@@ -55,6 +57,8 @@ def one_form_sql(column: str) -> str:
     source = "".join(a for a, _ in singles) + FULL_WIDTH + _compatibility()[0]
     target = "".join(b * len(a) for a, b in singles) + FULL_WIDTH_AS + _compatibility()[1]
     out = f"regexp_replace({column}, {_quoted(INVISIBLE)}, '', 'g')"
+    for signs, nukta in SIGN_BEFORE_NUKTA:
+        out = f"regexp_replace({out}, '({signs}){nukta}', '{nukta}\\1', 'g')"
     out = f"nfc_normalize(translate({out}, {_quoted(source)}, {_quoted(target)}))"
     for a, b in SEQUENCES:
         out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"

@@ -54,7 +54,7 @@ def test_boilerplate(spark):
 
 
 def test_lookalikes(spark):
-    cases = {"प्रभु नुં": 1, "जी​": 1, "थोड़ो": 1, "थोड़ो": 0, "रास ||१||": 1, "रास ॥१॥, (2)": 0, "Rajіye": 1, "Sībāṇa": 0, "अारती": 1, "": 0, "a  b": 0}
+    cases = {"प्रभु नुં": 1, "जी​": 1, "थोड़ो": 1, "थोड़ो": 0, "रास ||१||": 1, "रास ॥१॥, (2)": 0, "Rajіye": 1, "Sībāṇa": 0, "अारती": 1, "थोडी़": 1, "થોડી઼": 1, "थोड़ी": 0, "": 0, "a  b": 0}
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(50, None)], "id bigint, title string")
     found = {r.id for r in lookalikes.lookalike_fields(df, "id", ["title"]).collect()}
     assert found == {i for i, v in enumerate(cases.values()) if v}
@@ -156,6 +156,18 @@ def test_language(spark):
     assert {tuple(r) for r in got.collect()} == {(2, "hi"), (3, "en"), (4, "hi"), (4, "en")}
 
 
+def test_language_of_a_quotation_in_the_same_script(spark):
+    hi, sa = "है और का की में यह वह था थे करता हुआ लिए", "अस्ति च तस्य एव इति भवति नमः अपि तत्र अहम् येन तु"
+    rnd = random.Random(7)
+    say = lambda t, n: " ".join(rnd.choice(t.split()) for _ in range(n))
+    samples = spark.createDataFrame([(i, k, say(t, 15)) for i in range(20) for k, t in (("hi", hi), ("sa", sa))], "sample_id bigint, lang string, text string")
+    docs = [(1, "hi", f"{say(hi, 40)} “{say(sa, 14)}” {say(hi, 9)}"), (2, "hi", f"{say(hi, 40)} “{say(sa, 4)}” {say(hi, 20)}"), (3, "sa", say(hi, 20)), (3, "hi", say(hi, 20))]
+    df = spark.createDataFrame(docs, "doc_id bigint, lang string, text string")
+    got = language.wrong_labels(language.stretches(df, samples, "doc_id", "text", "lang"), "doc_id")
+    # of two labels of one id the first in order counts
+    assert {tuple(r) for r in got.collect()} == {(1, "hi"), (1, "sa")}
+
+
 def test_scanned(spark):
     words = "प्रभु दर्शन आनंद मंगल नगर पर्वत सागर करुणा".split()
     rnd = random.Random(3)
