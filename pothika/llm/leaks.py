@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import broadcast_if_small, cut, salted_lookup
 from .words import folded, plain_words
 
 #: Words of a run that counts, words of a shingle.
@@ -210,9 +210,12 @@ def leaks(items: DataFrame, item: str, documents: DataFrame, doc: str, text: str
         bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
         np.bitwise_or.at(bits, (v >> np.uint64(67 - TABLE_BITS)).astype(np.int64), np.uint8(1) << ((v >> np.uint64(64 - TABLE_BITS)) & np.uint64(7)).astype(np.uint8))
         table = spark.sparkContext.broadcast(bits)
-    pairs = cut(_sketches(documents, doc, text, RUN, table).join(values, "v").select(item, doc).distinct())
+    seen = cut(_sketches(documents, doc, text, RUN, table))
+    pairs = cut(salted_lookup(seen, values, "v").select(item, doc).distinct())
     with_items = pairs.join(items.select(item, F.col(text).alias("item_text")).dropDuplicates([item]), item)
-    both = documents.select(doc, F.col(text).alias("doc_text")).join(with_items, doc)
+    # only texts of candidates are moved
+    candidates, _ = broadcast_if_small(pairs.select(doc).distinct(), 32)
+    both = documents.select(doc, F.col(text).alias("doc_text")).join(candidates, doc, "left_semi").join(with_items, doc)
     schema = f"{item} {items.schema[item].dataType.simpleString()}, {doc} {documents.schema[doc].dataType.simpleString()}, words int"
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
