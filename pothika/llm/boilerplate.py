@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, salted_lookup
 
 #: Share of a source's documents, and its books, on which a line must stand.
 SHARE, BOOKS = 0.04, 3
@@ -70,14 +70,14 @@ def without_lines(df: DataFrame, text: str, source: str, frequent: DataFrame, un
     unify: text is in one script, so the lines are compared in it.
     """
     letters = F.col("letters")
-    per_source, _ = broadcast_if_small(cut(frequent.groupBy(source).agg(F.collect_set(F.xxhash64(one_script(letters) if unify else letters)).alias("_drop"))), 64_000)
+    per_source, small = broadcast_if_small(cut(frequent.groupBy(source).agg(F.collect_set(F.xxhash64(one_script(letters) if unify else letters)).alias("_drop"))))
 
     def key(line: Column) -> Column:
         return F.xxhash64(one_script(line_letters(line)) if unify else line_letters(line))
 
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), key(x)))
-    joined = df.join(per_source, source, "left")
+    joined = df.join(per_source, source, "left") if small else salted_lookup(df, per_source, source, "left")
     return joined.select(
         *(c for c in df.columns if c != text),
         F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),

@@ -24,12 +24,10 @@ KEPT = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
-    try:
-        import public_tokenizers
+    """The path of a public vocabulary file in the installed package of them."""
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
+    return public_tokenizers.path(name)
 
 
 #: Splits text into pieces; fixed value of the vocabulary.
