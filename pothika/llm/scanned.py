@@ -297,10 +297,10 @@ def _with_repeated(pages: DataFrame, frequent: DataFrame, shipped: int = SHIPPED
 def _edge_rows(pages: DataFrame, known: Known) -> DataFrame:
     """(page_id, book, page, words, last, value): words of an edge line, sorted, its last word and its number; or a number alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
             rows = []
-            for k, book, page, lib, text, repeated in zip(*(batch[c] for c in ("page_id", "book", "page", "library", "text", "_repeated"))):
+            for k, book, page, lib, text, repeated in _rows(part, "page_id", "book", "page", "library", "text", "_repeated"):
                 p = Page(text, known(lib, repeated), edges_only=True)
                 numbers, edges = p.ends()
                 for n in numbers.values():
@@ -310,9 +310,23 @@ def _edge_rows(pages: DataFrame, known: Known) -> DataFrame:
                     if 0 < len(words) <= 8:
                         m = re.findall(r"\d+", p.lines[i].translate(_DIGITS))
                         rows.append((k, book, page, " ".join(words), _last_word(p.lines[i]), int(m[0]) if len(m) == 1 and len(m[0]) < 6 else None))
-            yield pd.DataFrame(rows, columns=["page_id", "book", "page", "words", "last", "value"]).astype({"value": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows) if rows else [()] * 6, _EDGE)], schema=_EDGE)
+
+    return pages.select("page_id", "book", "page", "library", "text", "_repeated").mapInArrow(run, "page_id bigint, book string, page int, words string, last string, value bigint")
+
 
-    return pages.select("page_id", "book", "page", "library", "text", "_repeated").mapInPandas(run, "page_id bigint, book string, page int, words string, last string, value bigint")
+_EDGE = pa.schema([("page_id", pa.int64()), ("book", pa.string()), ("page", pa.int32()), ("words", pa.string()), ("last", pa.string()), ("value", pa.int64())])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, which bounds what their texts take as Python strings."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, size):
+            yield batch.slice(lo, size)
+
+
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in columns))
 
 
 @lru_cache(20_000)
@@ -441,9 +455,9 @@ def read_lines(pages: DataFrame, known: Known, endings: set[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, list[str]] = {}
-        for batch in batches:
+        for part in _parts(batches):
             out: list[list] = [[] for _ in _LINE]
-            for k, page, lib, source, text, repeated, heads, offsets, name in zip(*(batch.column(c).to_pylist() for c in ("page_id", "page", "library", "source", "text", "_repeated", "heads", "offsets", "name"))):
+            for k, page, lib, source, text, repeated, heads, offsets, name in _rows(part, "page_id", "page", "library", "source", "text", "_repeated", "heads", "offsets", "name"):
                 if name is not None and name not in names:
                     names[name] = _head_words(name)
                 heads = [h["words"].split() for h in heads or ()]
