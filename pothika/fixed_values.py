@@ -54,6 +54,23 @@ LETTER = r"[\x{0900}-\x{0963}\x{0970}-\x{097F}\x{0A80}-\x{0AE5}\x{0AF0}-\x{0AFF}
 DEVA_WORD = r"[\x{0900}-\x{097F}]+"
 EXPLAINER_CUE = r"(^|[^\x{0900}-\x{097F}])के\s?[0०°\"']"
 SOURCE_NOTE = r"^\s*\(.{0,60}(कोश|कोष|कोस|क्रमा[ंङ]?क|क\S?माक|साहित्य)"
+#: Ends of verse lines: punctuation or number, a particle, a refrain cue, dots. Spelt without look-behind, which RE2 lacks.
+VERSE_END = r"[,;।॥!?)\d]\z|(रे|जी|हो)\z|[^\sक][0०°]\z|[^\sे]क[0०°]\z|(^|[^क])े[0०°]\z|(\.{2,}|…)\s*\S{0,3}\z|\.\s*\S{1,4}\s?\S{0,4}\.\z"
+#: Words over the columns of a contents list, and over its page column.
+COLUMN_WORDS, PAGE_COLUMN_WORDS = "नाम नाप विषय अंक आंक पृष्ठ".split(), "पृष्ठ पृष्ट पत्र पेज".split()
+#: Words that announce a quotation in an explanation.
+CITING_WORDS = "यतः यत तथा उक्तं उक्तञ्च यदुक्तं इत्यादि इति".split()
+#: Signs trimmed off titles, and off verses.
+TITLE_TRIM = " .:-।॥\"'“”"
+VERSE_TRIM = TITLE_TRIM + "0123456789,;()[]"
+#: Notes and checks of the results.
+WEAK_NOTE = "Weak match at {} - verify text"
+START_ONLY_NOTE, END_ONLY_NOTE = "Start found, end not found", "End found, start not found"
+CHECK_HEADING = "No heading found - check where it starts"
+CHECK_LENGTH = "Aadi/Ant is not one clear verse"
+CHECK_PAGES = "Spans {} pages - may hold several Kruti"
+CHECK_SCAN = "Low OCR quality - check the scan"
+CHECK_ORPHAN = "No verse numbers or heading - found by matching the Excel text"
 #: Invisible, not white space: no pattern matches across a blanked span.
 SEPARATOR = "⁣"
 

@@ -27,11 +27,16 @@ def broken_ratio(t: Column) -> Column:
 
 
 def routed(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """pages with indic_ratio, broken_ratio, usable and route: text, blank or ocr. Null text is blank."""
+    """pages with indic_ratio, broken_ratio, usable and route: text, blank or ocr. Null text is blank, unless the page has images or
+    drawings, where the table tells (columns images, drawings): then it is for OCR."""
     t = F.coalesce("text", F.lit(""))
     out = pages.withColumn("indic_ratio", indic_ratio(t)).withColumn("broken_ratio", broken_ratio(t))
+    pictures = F.lit(False)
+    for c in ("images", "drawings"):
+        if c in pages.columns:
+            pictures = pictures | (F.coalesce(F.col(c), F.lit(0)) > 0)
     usable = (F.length(F.regexp_replace(t, r"^\s+|\s+$", "")) >= s.min_text_chars) & (F.col("indic_ratio") >= s.min_indic_ratio) & (F.col("broken_ratio") <= s.max_broken_ratio)
-    route = F.when(usable & F.lit(not s.force_ocr), "text").when(~t.rlike(r"\S"), "blank").otherwise("ocr")
+    route = F.when(usable & F.lit(not s.force_ocr), "text").when(~t.rlike(r"\S") & ~pictures, "blank").otherwise("ocr")
     return out.withColumn("usable", usable).withColumn("route", route)
 
 
@@ -61,8 +66,10 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
     line_no counts from 1. at_edge: among the first two or last two.
     """
-    lines = F.filter(F.split(text.light(F.col("text")), "\n"), lambda x: x.rlike(r"\S"))
-    out = pages.select("book", "page", F.posexplode(lines).alias("i", "line"), F.size(lines).alias("n_lines"))
+    lit = pages.select("book", "page", text.light(F.col("text")).alias("_light"))
+    lit = lit.select("book", "page", F.filter(F.split("_light", "\n"), lambda x: x.rlike(r"\S")).alias("_lines"))
+    # outer, as the optimizer would test an inner one's array beforehand, and so make the light text three times
+    out = lit.select("book", "page", F.posexplode_outer("_lines").alias("i", "line"), F.size("_lines").alias("n_lines")).filter("line is not null")
     return out.select("book", "page", (F.col("i") + 1).alias("line_no"), "n_lines", "line", ((F.col("i") < 2) | (F.col("i") >= F.col("n_lines") - 2)).alias("at_edge"))
 
 
@@ -141,11 +148,15 @@ def page_offsets(lines: DataFrame) -> DataFrame:
     return per_page.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0))).select("book", "page", "start", "chars")
 
 
-def book_texts(lines: DataFrame) -> DataFrame:
-    """(book, light, starts): the lines of each book as one text, and (page, start) of its pages, in order."""
-    pages = lines.groupBy("book", "page").agg(
+def page_texts(lines: DataFrame) -> DataFrame:
+    """(book, page, start, t): the text of each page's lines, and where it begins in its book's text."""
+    texts = lines.groupBy("book", "page").agg(
         F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("t")
     )
-    starts = page_offsets(lines).groupBy("book").agg(F.array_sort(F.collect_list(F.struct("start", "page"))).alias("starts"))
-    whole = pages.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), "").alias("light"))
-    return whole.join(starts, "book")
+    return texts.join(page_offsets(lines).select("book", "page", F.col("start").cast("int").alias("start")), ["book", "page"])
+
+
+def book_texts(texts: DataFrame) -> DataFrame:
+    """(book, light, starts) of page_texts: the pages of each book as one text, and (start, page) of each, in order."""
+    whole = texts.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page", "start", "t"))).alias("ps"))
+    return whole.select("book", F.array_join(F.transform("ps", lambda x: x["t"]), "").alias("light"), F.transform("ps", lambda x: F.struct(x["start"].alias("start"), x["page"].alias("page"))).alias("starts"))

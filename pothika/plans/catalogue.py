@@ -15,6 +15,7 @@ from ..operators import content, group, match, pages, report, segment
 from ..session import cut
 from ..sources import readers
 from ..streaming import ingest
+from . import run
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,12 +40,14 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_lines(pages.latest_reads(_table(spark, sf_dir, "pages"), "read_at"))
 
 
-def assembled_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book, light, starts, confidence) of the books that the pages make, without page furniture."""
-    reads = pages.latest_reads(_table(spark, sf_dir, "pages"), "read_at")
-    lines = cut(pages.page_lines(reads))
-    conf = reads.groupBy("book").agg(F.map_from_entries(F.collect_list(F.struct("page", F.coalesce("confidence", F.lit(100.0)).alias("c")))).alias("confidence"))
-    return cut(pages.book_texts(cut(pages.kept_lines(lines))).join(conf, "book"))
+def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book, page, start, t) of the books that the pages make, without page furniture."""
+    return cut(run.texts_of_books(cut(_lines(spark, sf_dir))))
+
+
+def assembled_books(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
+    """(book, light, starts, confidence, spans) of these books."""
+    return cut(run.assembled(_table(spark, sf_dir, "pages"), texts if texts is not None else book_pages(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- SQL of the text functions
@@ -135,7 +138,7 @@ def q_latest_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""WITH l AS (SELECT page_id, confidence, i, string_split(text, chr(10))[i] AS line FROM pages, generate_series(1, len(string_split(text, chr(10)))) g(i)),
 w AS (SELECT page_id, i, j, trim(string_split(line, ' ')[j], ' ') AS word, CASE WHEN (i + j) % 7 = 0 THEN -1.0 ELSE confidence END AS conf FROM l, generate_series(1, len(string_split(line, ' '))) h(j)),
 t AS (SELECT page_id, i, string_agg(word, ' ' ORDER BY j) AS line, sum(conf) FILTER (conf >= 0) AS c, count(*) FILTER (conf >= 0) AS n FROM w WHERE regexp_matches(word, '\S') GROUP BY ALL)
-SELECT page_id, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5, sum(n)::BIGINT AS words_read FROM t GROUP BY page_id"""
+SELECT page_id, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5, sum(n)::BIGINT AS words_read, round_even(coalesce(sum(c) / nullif(sum(n), 0), 0), 1) AS confidence FROM t GROUP BY page_id"""
 )
 def q_ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "pages").select("page_id", "confidence", F.posexplode(F.split("text", "\n")).alias("i", "l"))
@@ -143,8 +146,8 @@ def q_ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     conf = F.when((F.col("i") + F.col("j") + 2) % 7 == 0, -1.0).otherwise(F.col("confidence"))
     rows = words.select("page_id", F.lit(0).alias("block"), F.lit(0).alias("par"), F.col("i").alias("line"), F.col("j").alias("ord"), "word", conf.alias("conf"))
     read = rows.filter(F.col("word").rlike(r"\S") & (F.col("conf") >= 0)).groupBy("page_id").agg(F.count("*").alias("words_read"))
-    whole = pages.recognised_lines(rows, "page_id").select("page_id", F.md5("text").alias("text_md5"))
-    return whole.join(read, "page_id", "left").select("page_id", "text_md5", F.coalesce("words_read", F.lit(0)).alias("words_read"))
+    whole = pages.recognised_lines(rows, "page_id").select("page_id", "confidence", F.md5("text").alias("text_md5"))
+    return whole.join(read, "page_id", "left").select("page_id", "text_md5", F.coalesce("words_read", F.lit(0)).alias("words_read"), "confidence")
 
 
 @_query(f"WITH {_LINES} SELECT book, page, line_no::INTEGER AS line_no, n_lines::INTEGER AS n_lines, at_edge, md5(line) AS line_md5 FROM lines")
@@ -164,20 +167,28 @@ candidates AS (SELECT DISTINCT book, page, n::INTEGER AS n FROM (
   SELECT book, page, regexp_extract(s, '(?:^|\s)[^\p{L}\p{N}_\s]{0,3}([0-9]{1,4})[^\p{L}\p{N}_]{0,3}$', 1) FROM short) WHERE n <> '')"""
 
 
-@_query(
-    rf"""WITH {_LINES}, {_CANDIDATES},
+_PRINTED = rf"""{_CANDIDATES},
 f AS (SELECT *, n - page AS d FROM candidates), p AS (SELECT DISTINCT book, page FROM lines), sz AS (SELECT book, count(*) AS pages FROM p GROUP BY book),
 v AS (SELECT book, d, count(*) AS votes, min(page) AS first FROM f GROUP BY ALL),
 b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY book ORDER BY votes DESC, first, d) = 1),
 agreed AS (SELECT book, d FROM b JOIN sz USING (book) WHERE votes >= greatest(3, 0.2 * pages)),
 near AS (SELECT *, count(*) OVER (PARTITION BY book, d ORDER BY page RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) - 1 AS c FROM f),
-own AS (SELECT book, page, min(n) AS n FROM near WHERE c >= 2 GROUP BY ALL)
-SELECT book, page, printed FROM (SELECT book, page, coalesce(own.n, CASE WHEN page + d > 0 THEN page + d END)::INTEGER AS printed FROM p LEFT JOIN agreed USING (book) LEFT JOIN own USING (book, page)) WHERE printed IS NOT NULL"""
-)
+own AS (SELECT book, page, min(n) AS n FROM near WHERE c >= 2 GROUP BY ALL),
+printed AS (SELECT book, page, printed FROM (SELECT book, page, coalesce(own.n, CASE WHEN page + d > 0 THEN page + d END)::INTEGER AS printed FROM p LEFT JOIN agreed USING (book) LEFT JOIN own USING (book, page)) WHERE printed IS NOT NULL)"""
+
+
+@_query(f"WITH {_LINES}, {_PRINTED} SELECT book, page, printed FROM printed")
 def q_printed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.printed_numbers(_lines(spark, sf_dir))
 
 
+@_query(f"WITH {_LINES}, {_PRINTED} SELECT work_id, s.printed AS book_start, e.printed AS book_end FROM works w LEFT JOIN printed s ON s.book = w.book AND s.page = w.start_page LEFT JOIN printed e ON e.book = w.book AND e.page = w.end_page")
+def q_work_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers printed on the first and last page of each work."""
+    works = _table(spark, sf_dir, "works").select("work_id", "book", "start_page", "end_page")
+    return run.with_printed_pages(works, pages.printed_numbers(cut(_lines(spark, sf_dir)))).select("work_id", "book_start", "book_end")
+
+
 @_query()
 def q_kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.kept_lines(_lines(spark, sf_dir)).select("book", "page", "line_no", "line")
@@ -212,7 +223,7 @@ _PROSE_SQL = "[" + ", ".join(_sql(w) for w in fixed.PROSE_WORDS) + "]"
 m AS (SELECT page_id, t, list_filter(regexp_extract_all(t, {_sql(fixed.DEVA_WORD)}), lambda x: x NOT IN ('।', '॥')) AS words,
   list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 15) AS long FROM t),
 c AS (SELECT page_id, len(words) AS words, len(list_filter(words, lambda x: list_contains({_PROSE_SQL}, x))) + {_count("t", fixed.EXPLAINER_CUE)} AS prose,
-  len(long) AS n, len(list_filter(long, lambda x: regexp_matches(x, {_sql(content.VERSE_END)}))) AS ends FROM m)
+  len(long) AS n, len(list_filter(long, lambda x: regexp_matches(x, {_sql(fixed.VERSE_END)}))) AS ends FROM m)
 SELECT page_id, words::INTEGER AS words, prose::INTEGER AS prose, round(prose / greatest(1, words), 6) AS prose_share, round(CASE WHEN n = 0 THEN 1.0 ELSE ends / n END, 6) AS line_end_share FROM c"""
 )
 def q_line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,20 +232,30 @@ def q_line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", content.word_count(c).alias("words"), content.prose_words(c).alias("prose"), F.round(content.prose_share(c), 6).alias("prose_share"), F.round(content.line_end_share(c), 6).alias("line_end_share"))
 
 
+_FILLED = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+_DOUBLES = {"short": "length(x) <= 45", "commas": "contains(x, ',')", "listed": f"regexp_matches(x, {_sql(content.LISTED_LINE)})", "bare": "NOT regexp_matches(x, '[,;।॥!?]')", "broken": "ends_with(x, '-')"}
+
+
+@_query(
+    rf"""WITH t AS (SELECT page_id, {_light("text")} AS t FROM pages), l AS (SELECT page_id, t, {_FILLED} AS ls FROM t),
+m AS (SELECT *, list_transform(list_filter(list_transform(ls, lambda x: regexp_extract(x, {_sql(content.TAIL_NUMBER)}, 1)), lambda n: n <> ''), lambda n: n::INTEGER) AS tails FROM l)
+SELECT page_id, len(ls)::INTEGER AS n_lines, {_count("t", fixed.VERSE_NO)}::INTEGER AS numbers, len(tails) >= 3 AS tailed,
+  round(len([i for i in range(1, len(tails)) if tails[i + 1] - tails[i] = 1]) / greatest(1, len(tails) - 1), 6) AS counted,
+  coalesce(list_sort(list_transform(ls, lambda x: {_count("x", fixed.DEVA_WORD)}))[len(ls) // 2 + 1], 0)::INTEGER AS median,
+  {", ".join(f"round(len(list_filter(ls, lambda x: {v})) / greatest(1, len(ls)), 6) AS {k}" for k, v in _DOUBLES.items())},
+  len(list_filter(ls[1:4], lambda x: regexp_matches(x, {_sql(content.COLUMN_LINE)}))) > 0 AS columns FROM m"""
+)
+def q_page_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What decides whether a page is a contents list."""
+    m = content.measured(_table(spark, sf_dir, "pages").select("page_id", text.light(F.col("text")).alias("t")), "t")
+    return m.select("page_id", "n_lines", "numbers", "tailed", "median", "columns", *(F.round(c, 6).alias(c) for c in ("counted", *_DOUBLES)))
+
+
 @_query()
 def q_page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of each page, by a fold over its book: index, prose or works."""
+    """The kind of each page: index, prose or works."""
     t = pages.latest_reads(_table(spark, sf_dir, "pages"), "read_at").select("book", "page", text.light(F.col("text")).alias("t"))
-    books = t.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("ps"))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for book, ps in zip(batch["book"], batch["ps"]):
-                rows += [(book, p["page"], k or "works") for p, k in zip(ps, content.page_kinds([p["t"] for p in ps]))]
-            yield pd.DataFrame(rows, columns=["book", "page", "kind"])
-
-    return books.mapInPandas(run, "book string, page int, kind string")
+    return content.with_kinds(t).select("book", "page", F.coalesce("kind", F.lit("works")).alias("kind"))
 
 
 @_query()
@@ -301,19 +322,9 @@ def q_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").filter("text is not null").select("page_id", segment.looks_like_list(F.col("text")).alias("is_list"))
 
 
-#: Names of the catalogue that go to all tasks; more are looked up by joins.
-SHIPPED_NAMES = 100_000
-
-
-def _found_works(spark: SparkSession, sf_dir: str, books: DataFrame) -> DataFrame:
-    names = _table(spark, sf_dir, "catalog").select("name").filter("name is not null").distinct()
-    shipped = [r[0] for r in names.limit(SHIPPED_NAMES + 1).collect()]
-    return segment.segmented(books, shipped) if len(shipped) <= SHIPPED_NAMES else segment.segmented_by_table(books, names)
-
-
 @_query()
 def q_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found_works(spark, sf_dir, assembled_books(spark, sf_dir))
+    return run.found_works(assembled_books(spark, sf_dir), _table(spark, sf_dir, "catalog"))
 
 
 # ---------------------------------------------------------------- matching
@@ -336,7 +347,8 @@ def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAMS = f"""keys AS (SELECT concat_ws('#', book, volume) AS book, {_key("light")} AS key FROM books WHERE light IS NOT NULL),
-grams AS (SELECT book, p - 1 AS p, length(key) AS n, substring(key, p, 4) AS gram FROM keys, generate_series(1, length(key) - 3) g(p)),
+chars AS (SELECT book, string_split_regex(key, '') AS c FROM keys),
+grams AS (SELECT book, unnest(range(0, len(c) - 3)) AS p, len(c) AS n, unnest([c[i] || c[i + 1] || c[i + 2] || c[i + 3] for i in range(1, len(c) - 2)]) AS gram FROM chars),
 kept AS (SELECT book, gram, list(p) AS places FROM grams GROUP BY book, gram HAVING count(*) <= greatest(50, max(n) // 2000))"""
 
 
@@ -360,16 +372,16 @@ def q_vote_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def q_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.located(_table(spark, sf_dir, "catalog"), assembled_books(spark, sf_dir))
+    return match.located(_table(spark, sf_dir, "catalog"), book_pages(spark, sf_dir))
 
 
 @_query()
 def q_linked_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works found in the books, linked to the entries located there, with orphans."""
-    books = assembled_books(spark, sf_dir)
-    catalog = _table(spark, sf_dir, "catalog")
-    works, occ, spans = cut(_found_works(spark, sf_dir, books)), cut(match.located(catalog, books)), cut(segment.spans_of_books(books))
-    return match.linked_works(works, occ, spans, catalog, match.page_scripts(_table(spark, sf_dir, "pages")), books)
+    texts, catalog = book_pages(spark, sf_dir), _table(spark, sf_dir, "catalog")
+    books = assembled_books(spark, sf_dir, texts)
+    works, occ = cut(run.found_works(books, catalog)), cut(match.located(catalog, texts))
+    return match.linked_works(works, occ, segment.spans_of_books(books), catalog, match.page_scripts(_table(spark, sf_dir, "pages")), books)
 
 
 @_query(
@@ -394,14 +406,21 @@ def q_range_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.range_scripts(works, "work_id", match.page_scripts(_table(spark, sf_dir, "pages")))
 
 
-@_query("WITH m AS (SELECT id, max(pos) AS pos FROM catalog WHERE id IS NOT NULL GROUP BY id) SELECT w.work_id, c.name FROM works w JOIN m ON w.kruti_no = m.id JOIN catalog c ON c.pos = m.pos")
+@_query("WITH m AS (SELECT id, max(pos) AS pos FROM catalog WHERE id IS NOT NULL GROUP BY id) SELECT a.pos, c.name FROM catalog a JOIN m ON a.id = m.id JOIN catalog c ON c.pos = m.pos")
 def q_last_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The name of the last entry with the number of each work."""
-    last = _table(spark, sf_dir, "catalog").filter("id is not null").groupBy("id").agg(F.max_by("name", "pos").alias("name"))
-    return _table(spark, sf_dir, "works").join(last, F.col("kruti_no") == F.col("id")).select("work_id", "name")
+    """Each entry with a number, and the name of the last entry of that number, which names all of them."""
+    entries = _table(spark, sf_dir, "catalog").filter("id is not null")
+    return entries.select("pos", "id").join(match.last_entries(entries), "id").select("pos", "name")
 
 
-@_query()
+@_query(
+    f"""WITH k AS (SELECT work_id, book, start_page, {_key(_light("aadi"))} AS key FROM works),
+p AS (SELECT work_id, key, lag(key) OVER (PARTITION BY book ORDER BY start_page, work_id) AS before FROM k),
+l AS (SELECT work_id, key, before, list_transform(string_split_regex(key, ''), lambda c: [unicode(c)]) AS a, list_transform(string_split_regex(before, ''), lambda c: unicode(c)) AS b FROM p WHERE before IS NOT NULL),
+c AS (SELECT work_id, length(key) AS n, length(before) AS m, CASE WHEN key = '' OR before = '' THEN 0 ELSE list_reduce(list_prepend([0 for x in range(length(before) + 1)], a), lambda r, c:
+  list_transform(range(1, len(r) + 1), lambda j: list_max([CASE WHEN i > 1 AND b[i - 1] = c[1] THEN r[i - 1] + 1 ELSE r[i] END for i in range(1, j + 1)])))[-1] END AS common FROM l)
+SELECT work_id, round_even(CASE WHEN n + m = 0 THEN 100.0 ELSE 200.0 * common / (n + m) END, 1) AS ratio FROM c"""
+)
 def q_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio of the opening of each work to that of the work before it in its book."""
     before = F.lag("key").over(W.partitionBy("book").orderBy("start_page", "work_id"))
@@ -433,13 +452,29 @@ def q_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group.groups(rows, ["book", "start_page", "work_id"], "kruti_no").select("work_id", "group_no")
 
 
+def _legible(c: str) -> str:
+    return rf"regexp_replace(coalesce({c}::VARCHAR, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')"
+
+
+_REPORT = ["group_no", "copy", "book", "book_name", "kruti_no", "name", "aadi", "ant", "start_page", "end_page", "book_start", "book_end", "verses", "script", "match", "match_score", "check", "remarks"]
+
+
 @_query(
-    r"""SELECT work_id, group_no, concat(row_number() OVER (PARTITION BY group_no ORDER BY book NULLS FIRST, coalesce(start_page, 0), work_id), ' of ', count(*) OVER (PARTITION BY group_no)) AS copy,
-  coalesce(nullif(coalesce(kruti_name, ''), ''), coalesce(title, '')) AS name, coalesce(start_page::VARCHAR, '-') AS start_page, coalesce(book_end::VARCHAR, '') AS book_end, coalesce(verses::VARCHAR, '') AS verses,
-  CASE WHEN len(coalesce(checks, [])) = 0 THEN 'OK' ELSE array_to_string(checks, '; ') END AS "check" FROM works"""
+    f"""SELECT work_id, group_no, concat(row_number() OVER (PARTITION BY group_no ORDER BY book NULLS FIRST, coalesce(start_page, 0), work_id), ' of ', count(*) OVER (PARTITION BY group_no)) AS copy,
+  book, {_legible("book_name")} AS book_name, coalesce(kruti_no, '') AS kruti_no, coalesce(nullif({_legible("kruti_name")}, ''), {_legible("title")}) AS name, {_legible("aadi")} AS aadi, {_legible("ant")} AS ant,
+  coalesce(start_page::VARCHAR, '-') AS start_page, coalesce(end_page::VARCHAR, '-') AS end_page, coalesce(book_start::VARCHAR, '') AS book_start, coalesce(book_end::VARCHAR, '') AS book_end, coalesce(verses::VARCHAR, '') AS verses,
+  coalesce(script, '') AS script, coalesce(match, '') AS match, coalesce(match_score::VARCHAR, '') AS match_score,
+  CASE WHEN len(coalesce(checks, [])) = 0 THEN 'OK' ELSE array_to_string(checks, '; ') END AS "check", '' AS remarks FROM works"""
 )
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.report(_table(spark, sf_dir, "works"), "work_id").select("work_id", "group_no", "copy", "name", "start_page", "book_end", "verses", "check")
+    return report.report(_table(spark, sf_dir, "works"), "work_id").select("work_id", *_REPORT)
+
+
+@_query()
+def q_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over the pages and the catalogue: the report."""
+    titles = _table(spark, sf_dir, "books").select("book", F.col("book_name").alias("title"))
+    return run.report_of_run(cut(run.works_of_run(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "catalog"), titles)))
 
 
 @_query("SELECT count(*) AS works, count(DISTINCT group_no) AS groups, count(DISTINCT book) AS books, count(*) FILTER (match <> 'New') AS in_catalogue FROM works")

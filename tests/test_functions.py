@@ -3,9 +3,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pothika.functions import similarity, text
-from pothika.operators import content
-from pothika.operators.segment import Names, find_heading, verse_count, works_of_book
-from pothika.fixed_values import Settings
 
 SHORT = st.text("abcक", max_size=9)
 
@@ -40,24 +37,3 @@ def test_text_expressions_follow_python(spark):
     for i, light, key in rows.select("i", text.light(F.col("t")), text.key(F.col("t"))).collect():
         assert light == text.py_light(texts[i])
         assert key == text.py_key(texts[i])
-
-
-def test_works_of_a_small_book():
-    book = text.py_light("1. नेमनाथ स्तवन\nसुणो सखी वात रे नेमजी घर आवे,\nमनमां आनंद थावे ॥1॥\nराजुल बोले वयण रसाळ रे सुणजो,\nनेमनाथ मन भावे ॥2॥\nढाळ २\nजिनवर पूजो रे भाव धरीने,\nकरम खपावे ॥1॥\nपार्श्वनाथ सज्झाय\nपारस प्रभु मन वसिया रे सुणजो,\nदरिसण पामी हरखिया ॥1॥\nसेवक तारो जिनराज रे स्वामी,\nभव दुख टाळी तरिया ॥2॥\n")
-    works = works_of_book(book, [0], [1], {1: 60.0}, content.excluded_spans(book, [0]), Names(Settings()))
-    assert [(w["title"], w["verses"]) for w in works] == [("नेमनाथ स्तवन", 3), ("पार्श्वनाथ सज्झाय", 2)]
-    assert all("Low OCR quality - check the scan" in w["checks"] for w in works)
-
-
-def test_headings_and_counts():
-    names = Names(Settings(), ["वीर विलाप"])
-    assert find_heading("वीर विलाप.\nकाया माया", names).title == "वीर विलाप"
-    assert find_heading("सुणो सखी वात रे नेमजी,\nमन भावे", names) is None
-    assert verse_count([1, 2, 3, 1, 2]) == 5 and verse_count([1, 2, 98]) == 2
-
-
-def test_content():
-    page = "विषयानुक्रमणिका\n" + "\n".join(f"कोई स्तवन {n}" for n in (3, 9, 14, 30, 31, 47))
-    assert content.page_kind(page) == content.INDEX
-    assert content.opens_explanation("व्याख्या- हे प्रभु") and not content.opens_explanation("सुणो सखी वात")
-    assert len(content.blanked("abc\ndef", [(1, 6, "note")])) == 7
