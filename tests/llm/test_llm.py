@@ -1,4 +1,7 @@
+import math
+import os
 import random
+import time
 
 import pytest
 
@@ -223,3 +226,65 @@ def test_edges_are_pruned_by_the_poorer_ends_weight(spark):
         edges = linkage.candidate_edges(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), hot=hot)
         assert {(x.l, x.r) for x in edges.collect()} == {(1, 7), (1, 9), (2, 8)}
     assert linkage.linked(*[x for t in "ab" for x in (spark.createDataFrame([], f"{t} bigint, x string, y string"), t, ("x", "y"))]).count() == 0
+
+
+def test_edges_by_common_attributes_are_those_of_all_pairs(spark, monkeypatch):
+    rnd = random.Random(12)
+    # half of the nodes take attributes of a few that all use, some nodes have one text, or too little of one to be weighed
+    tables = []
+    for n in (60, 80):
+        rows = set()
+        for node in range(n):
+            for side in (0, 1) if node % 4 else (node // 4 % 2,):
+                formula = rnd.randrange(3) * 10
+                common = [100 * side + formula + k for k in range(10)] if rnd.random() < 0.5 else []
+                own = [1000 * (side + 1) + rnd.randrange(250) for _ in range(rnd.choice((2, 12)))]
+                rows |= {(node, side, x) for x in [*rnd.sample(common, min(len(common), rnd.choice((1, 6)))), *own]}
+        tables.append(sorted(rows))
+    at = [{(x, node): side for node, side, x in t} for t in tables]
+    nodes = [{node for node, _, _ in t} for t in tables]
+    of = [{node: {x for m, _, x in t if m == node} for node in nodes[k]} for k, t in enumerate(tables)]
+    used = [{x: sum(x in s for s in o.values()) for x in set().union(*o.values())} for o in of]
+    weight = {x: math.log2(1 + sum(map(len, nodes)) / (used[0][x] + used[1][x])) for x in used[0].keys() & used[1].keys()}
+    side_of = {x: s for d in at for (x, _), s in d.items()}
+
+    def own(k, node, side):
+        mine = [x for x in of[k][node] if side_of[x] == side]
+        known = [weight[x] for x in mine if x in weight]
+        return sum(known) if len(mine) >= linkage.FEW and known else None
+
+    truth = set()
+    for p in nodes[0]:
+        for q in nodes[1]:
+            both = of[0][p] & of[1][q]
+            enough = True
+            for s in (0, 1):
+                x, y = own(0, p, s), own(1, q, s)
+                enough &= x is None or y is None or sum(weight[z] for z in both if side_of[z] == s) >= linkage.KEEP * min(x, y)
+            if len(both) >= 2 and enough:
+                truth.add((p, q))
+    schema = "node bigint, side int, attr bigint"
+    frames = [spark.createDataFrame(t, schema) for t in tables]
+
+    # in slices of any size, and with all, some or no attributes as common ones
+    for size, usual, paired in ((1 << 30, 10, 1000), (30_000, 10, 4), (1 << 30, 0, 1000)):
+        monkeypatch.setattr(linkage, "SLICE_BYTES", size)
+        monkeypatch.setattr(linkage, "PAIRED", paired)
+        assert {(x.l, x.r) for x in linkage.candidate_edges(*frames, usual=usual).collect()} == truth
+    assert len(truth) > 100
+
+
+def test_edges_leave_no_shuffle_files(spark):
+    schema = "node bigint, side int, attr bigint"
+    # 300 x 300 nodes meet by attributes that all have, and few are alike
+    frames = [spark.createDataFrame([(n, s, 100 * s + x if x < 4 else 10_000 * (s + 1) + 100 * n + x) for n in range(300) for s in (0, 1) for x in range(10)], schema) for _ in "ab"]
+
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getPath() for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
+
+    before = shuffled()
+    assert linkage.candidate_edges(*frames).count() == 300
+    time.sleep(2)
+    # those of the counts stay, with a few bytes a task
+    assert sum(os.path.getsize(f) for f in shuffled() - before if os.path.exists(f)) < 50_000
