@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -37,3 +39,16 @@ def test_text_expressions_follow_python(spark):
     for i, light, key in rows.select("i", text.light(F.col("t")), text.key(F.col("t"))).collect():
         assert light == text.py_light(texts[i])
         assert key == text.py_key(texts[i])
+
+
+def test_many_windows_at_once():
+    rnd = random.Random(6)
+    queries, texts = [], []
+    for _ in range(400):
+        letters = rnd.choice(["कग", "कखगघचछजझ"])
+        q, t = ("".join(rnd.choice(letters) for _ in range(n)) for n in (rnd.randint(1, 30), rnd.randint(0, 90)))
+        queries.append(q)
+        texts.append(t + "".join(c for c in q if rnd.random() < 0.9) + t[:9] if rnd.random() < 0.5 else t)
+    assert similarity.best_windows(queries, texts) == [similarity.best_window(q, t) for q, t in zip(queries, texts)]
+    assert similarity.best_windows(["कग"] * 5000, ["गकगक"] * 5000) == [(100.0, 1, 3)] * 5000
+    assert similarity.best_windows([], []) == [] and similarity.best_windows(["क"], ["ख"]) == [(0.0, 0, 0)]
